@@ -17,8 +17,22 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark, _read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import substring_dedup
+
+    return substring_dedup(spark, _read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import suffix_array_dedup
+
+    return suffix_array_dedup(spark, _read(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
 }
 
 SQL: dict[str, str] = {}

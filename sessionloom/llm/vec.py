@@ -137,35 +137,6 @@ def owners(ranges: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ranges) - 1), np.diff(ranges))
 
 
-def sliding_min_arg(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the smallest value (rightmost of equals) in each window of ``width``.
-
-    Blocks of ``width``: the running minimum from the left of a block and from
-    the right of one cover every window, in linear time.
-    """
-    n = len(values)
-    if n < width:
-        return np.zeros(0, np.int64)
-    if width == 1:
-        return np.arange(n)
-    pad = -n % width
-    v = np.concatenate([values, np.full(pad, np.iinfo(values.dtype).max, values.dtype)]).reshape(-1, width)
-    idx = np.arange(n + pad).reshape(-1, width)
-    left = np.minimum.accumulate(v, axis=1)
-    changed = v == left  # the latest position that attains the running minimum
-    la = np.maximum.accumulate(np.where(changed, idx, 0), axis=1).ravel()
-    r = np.minimum.accumulate(v[:, ::-1], axis=1)
-    vr = v[:, ::-1]
-    fresh = np.empty(vr.shape, bool)  # seen from the right, the first that attains it is the rightmost
-    fresh[:, 0] = True
-    fresh[:, 1:] = vr[:, 1:] < r[:, :-1]
-    base = np.arange(len(v))[:, None] * width
-    ra = (base + width - 1 - np.maximum.accumulate(np.where(fresh, np.arange(width), 0), axis=1))[:, ::-1].ravel()
-    flat = v.ravel()
-    a, b = ra[: n - width + 1], la[width - 1 : n]
-    return np.where(flat[b] <= flat[a], b, a)
-
-
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans, as sorted disjoint spans that do not touch."""
     if not len(start):
@@ -176,3 +147,17 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = start[1:] > end[:-1]
     at = np.flatnonzero(new)
     return start[at], end[np.append(at[1:] - 1, len(end) - 1)]
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Smallest value in each window of ``width``, in linear time."""
+    n = len(values)
+    if n < width:
+        return values[:0]
+    if width == 1:
+        return values
+    pad = -n % width
+    v = np.concatenate([values, np.full(pad, np.iinfo(values.dtype).max, values.dtype)]).reshape(-1, width)
+    left = np.minimum.accumulate(v, axis=1).ravel()
+    right = np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[: n - width + 1], left[width - 1 : n])
