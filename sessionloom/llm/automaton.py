@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .repeats import windows_twice
+
 
 class SuffixAutomaton:
     """Generalised online suffix automaton (Blumer et al.) of integer sequences."""
@@ -77,10 +79,11 @@ def match_words(kind, anchor: np.ndarray, body: np.ndarray, at: np.ndarray, n: n
     """Marks of the windows of each distinct fragment that occur in a fragment of a smaller document.
 
     Fragments come with their earliest document.  An anchor with one fragment
-    has nothing to match.
+    has nothing to match, and a fragment whose windows' hashes occur once neither.
     """
     mask = np.zeros(len(anchor), np.uint64)
-    order = np.lexsort((doc, anchor))
+    need = np.flatnonzero(windows_twice(kind, body, at, n))
+    order = need[np.lexsort((doc[need], anchor[need]))]
     a = anchor[order]
     bounds = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
     for lo, hi in zip(bounds[:-1], bounds[1:]):

@@ -119,6 +119,11 @@ def semi(df: DataFrame, ids: DataFrame, key: str, rows: int) -> DataFrame:
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, key, "left_semi")
 
 
+def anti(df: DataFrame, ids: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``; rows with a null key stay."""
+    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, key, "left_anti")
+
+
 def batch(columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
 

@@ -110,6 +110,24 @@ def quality_measures(text: Column) -> Column:
     )
 
 
+def _flat(m: str) -> dict[str, Column]:
+    return {c: F.col(f"{m}.w.{c}") for c in ("n_words", "n_repeat_words", "n_stop")} | {c: F.col(f"{m}.l.{c}") for c in ("n_lines", "n_dup_lines")} | {c: F.col(f"{m}.{c}") for c in ("word_chars", "n_symbols", "n_exclaim")}
+
+
+def _verdicts(flat: dict[str, Column], rules: tuple[Rule, ...]) -> tuple[Column, Column]:
+    base = (flat["n_words"] < MIN_WORDS) | (flat["n_repeat_words"] * 100 > flat["n_words"] * MAX_REPEAT)
+    failed = base
+    for r in rules:
+        failed = failed | r.spark(flat)
+    return base, ~failed
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that the rules keep, with all their columns."""
+    m = docs.withColumn("__m", quality_measures(F.col("text")))
+    return m.where(_verdicts(_flat("__m"), rules)[1]).drop("__m")
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, then further counts.
 
@@ -120,12 +138,9 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     null.  Other columns are ignored.
     """
     m = docs.select("doc_id", quality_measures(F.col("text")).alias("m"))
-    flat = {c: F.col(f"m.w.{c}") for c in ("n_words", "n_repeat_words", "n_stop")} | {c: F.col(f"m.l.{c}") for c in ("n_lines", "n_dup_lines")} | {c: F.col(f"m.{c}") for c in ("word_chars", "n_symbols", "n_exclaim")}
-    base = (flat["n_words"] < MIN_WORDS) | (flat["n_repeat_words"] * 100 > flat["n_words"] * MAX_REPEAT)
-    failed = base
-    for r in rules:
-        failed = failed | r.spark(flat)
-    return m.select("doc_id", *(flat[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base.alias("base_failed"), (~failed).alias("kept"), *(flat[c].alias(c) for c in ("n_lines", "n_stop", "n_exclaim")))
+    flat = _flat("m")
+    base, kept = _verdicts(flat, rules)
+    return m.select("doc_id", *(flat[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base.alias("base_failed"), kept.alias("kept"), *(flat[c].alias(c) for c in ("n_lines", "n_stop", "n_exclaim")))
 
 
 def quality_sql(source: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:

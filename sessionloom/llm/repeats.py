@@ -8,6 +8,8 @@ equal windows have equal anchors, and a run of windows shares one.
    elements) to buckets, which tell the documents those that another place has.
    An anchor found twice within a flush is known to be shared where it is and
    sends one entry.
+   An anchor with a thousand places, such as a phrase in many contexts, is hot:
+   windows that have another gram go by that instead, which splits the group.
 2. Documents whose text equals an earlier one are settled by that alone.  Of the
    others, runs of windows with shared anchors travel, as *fragments* with their
    elements, to the bucket of the anchor: all equal windows meet there, and only
@@ -36,6 +38,8 @@ from . import vec
 
 #: Windows of a fragment at most: their marks fit 64 bits.
 RUN = 64
+#: Places from which an anchor is hot, or more for a large input: places / HOT bounds the hot anchors that tasks receive.
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -55,8 +59,11 @@ def elements(kind: Kind, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     return vec._BYTE[data], off
 
 
-def windows(kind: Kind, values: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, text, anchor, twice) of every window; twice: the window has its anchor at two places."""
+def windows(kind: Kind, values: np.ndarray, ranges: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, text, anchor, twice) of every window; twice: the window has its anchor at two places.
+
+    Grams in ``hot`` (sorted) anchor a window only if it has no other.
+    """
     grams = vec.run_hashes(values, kind.gram)
     width = kind.length - kind.gram + 1
     count = np.maximum(0, np.diff(ranges) - kind.length + 1)
@@ -64,11 +71,14 @@ def windows(kind: Kind, values: np.ndarray, ranges: np.ndarray) -> tuple[np.ndar
     start = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + ranges[:-1][text]
     # high half of the hash, then the place: the least is the leftmost least gram
     high, place = grams & np.uint64(0xFFFFFFFF00000000), np.arange(len(grams), dtype=np.uint64)
+    name = vec.mix(grams)  # the least of many is no even hash: anchors go by another
+    if hot is not None and len(hot):
+        high[hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name] = np.uint64(0xFFFFFFFF00000000)
     low = (vec.sliding_min(high | place, width) & np.uint64(0xFFFFFFFF))[start]
     if kind.words:
-        return start, text, grams[low], np.zeros(len(low), bool)
+        return start, text, name[low], np.zeros(len(low), bool)
     last = (vec.sliding_min(high | (np.uint64(0xFFFFFFFF) - place), width) & np.uint64(0xFFFFFFFF))[start]
-    return start, text, grams[low], np.uint64(0xFFFFFFFF) - last != low
+    return start, text, name[low], np.uint64(0xFFFFFFFF) - last != low
 
 
 SEEN = ex.pack_schema("value", "doc", "info") + ", kind int"
@@ -89,7 +99,7 @@ def _to_docs(values, docs, info, bits, kind):
 
 
 def _anchors(kind: Kind, bits: int):
-    """Kind 0: an anchor and its document (-1 for several); 1: a shared anchor of a document; 2: size and digest."""
+    """Kind 0: an anchor, its document and places; 1: a shared anchor of a document; 2: size and digest; 3: a hot anchor."""
 
     def flush(hold):
         values, docs = (np.concatenate(x) for x in zip(*hold))
@@ -99,8 +109,7 @@ def _anchors(kind: Kind, bits: int):
         count = np.diff(np.append(at, len(v)))
         many = np.repeat(count > 1, count)
         yield _to_docs(v[many], d[many], np.zeros(int(many.sum()), np.uint8), bits, 1)
-        single = (count == 1).astype(np.uint8)
-        yield _kinded(ex.pack((v[at] >> np.uint64(64 - bits)).astype(np.int32), {"value": v[at], "doc": d[at], "info": single}), 0)
+        yield _kinded(ex.pack((v[at] >> np.uint64(64 - bits)).astype(np.int32), {"value": v[at], "doc": d[at], "info": count.astype(np.int32)}), 0)
 
     def run(batches):
         hold, held = [], 0
@@ -135,7 +144,7 @@ def _anchors(kind: Kind, bits: int):
     return run
 
 
-def _shared(bits: int):
+def _shared(bits: int, hot: int):
     def run(batches):
         mine = []
         for b in batches:
@@ -143,13 +152,16 @@ def _shared(bits: int):
             if (k != 0).any():
                 yield b.filter(pa.array(k != 0))
             mine.append(b.filter(pa.array(k == 0)))
-        x, _, _ = ex.unpack(mine, value=np.uint64, doc=np.int64, info=np.uint8)
+        x, _, _ = ex.unpack(mine, value=np.uint64, doc=np.int64, info=np.int32)
         order = np.argsort(x["value"])
-        v, d, single = x["value"][order], x["doc"][order], x["info"][order] > 0
+        v, d, places = x["value"][order], x["doc"][order], x["info"][order].astype(np.int64)
         at = ex.group_starts(v)
         count = np.diff(np.append(at, len(v)))
-        keep = np.repeat(count > 1, count) & single
+        keep = np.repeat(count > 1, count) & (places == 1)
         yield _to_docs(v[keep], d[keep], np.zeros(int(keep.sum()), np.uint8), bits, 1)
+        if len(v):
+            many = v[at[np.add.reduceat(places, at) >= hot]]
+            yield _to_docs(many, np.zeros(len(many), np.int64), np.zeros(len(many), np.uint8), bits, 3)
 
     return run
 
@@ -161,6 +173,9 @@ def _per_doc(batches):
     ids, sizes, digests, values, docs = [], [], [], [], []
     for b in batches:
         k = b.column(4).to_numpy()
+        x, _, _ = ex.unpack([b.filter(pa.array(k == 3))], value=np.uint64)
+        if len(x["value"]):
+            yield ex.batch({"doc_id": pa.array([None], pa.int64()), "size": np.zeros(1, np.int64), "k1": np.zeros(1, np.int64), "k2": np.zeros(1, np.int64), "anchors": pa.array([x["value"].tobytes()], pa.binary())})
         x, _, _ = ex.unpack([b.filter(pa.array(k == 2))], value=np.uint64, doc=np.int64, info=np.dtype("V16"))
         ids.append(x["doc"])
         sizes.append(x["value"].view(np.int64))
@@ -190,7 +205,9 @@ def _per_doc(batches):
 FRAGMENTS = ex.pack_schema("anchor", "content", "doc", "start", "count", "body")
 
 
-def _fragments(kind: Kind, bits: int):
+def _fragments(kind: Kind, bits: int, hot_bytes: bytes):
+    hot = np.frombuffer(hot_bytes, np.uint64)
+
     """Runs of windows with a shared anchor: (anchor, content hash, document, start, windows), and each content once."""
 
     def flush(hold):
@@ -231,6 +248,8 @@ def _fragments(kind: Kind, bits: int):
                         have = np.frombuffer(mine[r0 + i], np.uint64)
                         at = np.minimum(np.searchsorted(have, low[a:z]), len(have) - 1)
                         keep[a:z] = have[at] == low[a:z]
+                if len(hot) and np.isin(low[keep], hot).any():  # such windows go by their other grams
+                    low = windows(kind, values, ranges, hot)[2]
                 start, text, low = start[keep], text[keep], low[keep]
                 if not len(start):
                     continue
@@ -257,6 +276,30 @@ def _fragments(kind: Kind, bits: int):
     return run
 
 
+def windows_twice(kind: Kind, body: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a fragment holds a window whose hash another place has; the others match nothing."""
+    hashes, whose = [], []
+    for i in range(0, len(at), 4096):
+        count = n[i : i + 4096]
+        size = count + kind.length - 1
+        ends = np.cumsum(size)
+        place = np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(at[i : i + 4096], size)
+        values = vec.mix(body[place].astype(np.uint64)) if kind.words else vec._BYTE[body[place]]
+        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends - size, count)
+        hashes.append(vec.run_hashes(values, kind.length)[start])
+        whose.append(np.repeat(np.arange(i, i + len(count)), count))
+    out = np.zeros(len(at), bool)
+    if hashes:
+        h, w = np.concatenate(hashes), np.concatenate(whose)
+        order = np.argsort(h)
+        h, w = h[order], w[order]
+        twice = np.zeros(len(h), bool)
+        twice[1:] = h[1:] == h[:-1]
+        twice[:-1] |= twice[1:]
+        out[w[twice]] = True
+    return out
+
+
 MARKS = ex.pack_schema("doc", "start", "mask")
 
 
@@ -345,33 +388,38 @@ def _spans(length: int):
     return run
 
 
-def marked(docs: DataFrame, kind: Kind, matcher: Callable) -> DataFrame:
-    """doc_id, text, spans: every document with the elements that earlier windows cover.
+def marked(docs: DataFrame, kind: Kind, matcher: Callable, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, spans, whole, and the columns to carry: every document with the elements that earlier windows cover.
 
     ``spans`` packs pairs of longs, (start, end) in elements, sorted and not
     touching; null where nothing is covered.  A text equal to an earlier one is
-    one span if it has a window.
+    one span if it has a window, of length ``whole``.
     """
     ex.prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    bits = ex.bucket_bits(ex.input_bytes(docs), 2 * ex.BUCKET_BYTES)
-    seen = ex.by_bucket(docs.mapInArrow(_anchors(kind, bits), SEEN), bits).mapInArrow(_shared(bits), SEEN)
-    info = ex.cut(ex.by_bucket(seen, bits).mapInArrow(_per_doc, DOCS).where(F.col("size") >= kind.length))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).where("doc_id is not null")
+    docs = every.select("doc_id", "text")
+    size = ex.input_bytes(docs)
+    bits = ex.bucket_bits(size, 2 * ex.BUCKET_BYTES)
+    seen = ex.by_bucket(docs.mapInArrow(_anchors(kind, bits), SEEN), bits).mapInArrow(_shared(bits, max(HOT, size // 5_000_000)), SEEN)
+    info = ex.cut(ex.by_bucket(seen, bits).mapInArrow(_per_doc, DOCS).where((F.col("size") >= kind.length) | F.col("doc_id").isNull()))
+    hot = b"".join(bytes(r.anchors) for r in info.where("doc_id is null").select("anchors").collect())
+    hot = np.unique(np.frombuffer(hot, np.uint64)).tobytes()
+    info = info.where("doc_id is not null")
     lead = info.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"))
     ranked = info.join(lead, ["k1", "k2"]).select("doc_id", "size", "anchors", "lead")
     copies = ranked.where("doc_id <> lead").select("doc_id", F.col("size").alias("whole"))
     work = ex.cut(ranked.where("doc_id = lead and anchors is not null").select("doc_id", "anchors"))
     rows = work.count()
     near = ex.semi(docs, work.select("doc_id"), "doc_id", rows).join(work.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "anchors")
-    parts = ex.by_bucket(near.mapInArrow(_fragments(kind, bits), FRAGMENTS), bits).mapInArrow(_match(kind, bits, matcher), MARKS)
+    parts = ex.by_bucket(near.mapInArrow(_fragments(kind, bits, hot), FRAGMENTS), bits).mapInArrow(_match(kind, bits, matcher), MARKS)
     spans = ex.by_bucket(parts, bits).mapInArrow(_spans(kind.length), SPANS)
     found = ex.cut(spans.withColumn("whole", F.lit(None).cast("long")).unionByName(copies.withColumn("spans", F.lit(None).cast("binary"))))
     rows = found.count()
     if rows > ex.BROADCAST_ROWS:
-        return docs.join(found, "doc_id", "left").select("doc_id", "text", "spans", "whole")
+        return every.join(found, "doc_id", "left").select("doc_id", "text", "spans", "whole", *carry)
     ids = F.broadcast(found.select("doc_id"))
-    touched = docs.join(ids, "doc_id", "left_semi").join(found.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "spans", "whole")
-    rest = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("long").alias("whole"))
+    touched = every.join(ids, "doc_id", "left_semi").join(found.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "spans", "whole", *carry)
+    rest = every.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("long").alias("whole"), *carry)
     return touched.unionByName(rest)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import vec
+from .repeats import windows_twice
 
 #: Bytes of fragments in one suffix array.
 SHARD = 2 << 20
@@ -83,29 +83,6 @@ def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], end
     return lcp
 
 
-def _windows_twice(kind, body, at, n, owner):
-    """Whether a fragment holds a window whose hash another place has: the rest needs no sorting."""
-    hashes, whose = [], []
-    for i in range(0, len(at), 4096):
-        size = n[i : i + 4096] + kind.length - 1
-        ends = np.cumsum(size)
-        place = np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(at[i : i + 4096], size)
-        values = vec._BYTE[body[place]]
-        count = n[i : i + 4096]
-        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends - size, count)
-        hashes.append(vec.run_hashes(values, kind.length)[start])
-        whose.append(np.repeat(owner[i : i + 4096], count))
-    h, w = np.concatenate(hashes), np.concatenate(whose)
-    order = np.argsort(h)
-    h, w = h[order], w[order]
-    twice = np.zeros(len(h), bool)
-    twice[1:] = h[1:] == h[:-1]
-    twice[:-1] |= twice[1:]
-    out = np.zeros(len(owner), bool)
-    out[w[twice]] = True
-    return out
-
-
 def _shard(kind, body, at, n, doc, start):
     """Sorted distinct windows of one shard found twice or bordering others: (strings, earliest, members...)."""
     size = n + kind.length - 1
@@ -129,7 +106,7 @@ def match_bytes(kind, anchor: np.ndarray, body: np.ndarray, at: np.ndarray, n: n
     mask = np.zeros(len(anchor), np.uint64)
     if not len(anchor):
         return mask
-    need = np.flatnonzero(_windows_twice(kind, body, at, n, np.arange(len(anchor))))
+    need = np.flatnonzero(windows_twice(kind, body, at, n))
     need = need[np.lexsort((start[need], doc[need], anchor[need]))]
     if not len(need):
         return mask

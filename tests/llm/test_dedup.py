@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from sessionloom.llm import repeats
 from sessionloom.llm import suffixarray as sa
 from sessionloom.llm.automaton import SuffixAutomaton
 from sessionloom.llm.dedup import substring_dedup, suffix_array_dedup
@@ -60,16 +61,18 @@ def rows_for(seed, vocab=400):
     return rows + [(300, None), (301, ""), (302, "a" * 500), (303, "xy" * 200), (304, "a" * 99), (305, "a" * 100), (306, "q r " * 300), (307, "\x00" * 150), (308, " ".join(["same"] * 120)), (309, " ".join(["same"] * 60))]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_words(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 1000), (2, 3)])
+def test_words(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = rows_for(seed)
     df = spark.createDataFrame([(i, t, 0) for i, t in rows] + [(None, "x " * 80, 0)], "doc_id long, text string, n_words int").repartition(3)
     got = sorted(tuple(r)[:4] for r in substring_dedup(spark, df).collect())
     assert got == brute_words(rows, 50)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bytes(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,hot", [(1, 1000), (2, 3)])
+def test_bytes(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = rows_for(seed)
     df = spark.createDataFrame([(i, t, 0) for i, t in rows] + [(None, "x " * 80, 0)], "doc_id long, text string, n_bytes int").repartition(3)
     got = sorted(tuple(r)[:5] for r in suffix_array_dedup(spark, df).collect())
