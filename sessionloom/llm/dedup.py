@@ -15,14 +15,6 @@ from .suffixarray import match_bytes
 WORD_GRAM, BYTE_GRAM = 8, 36
 
 
-def _cut_words(raw: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
-    words = raw.split()
-    n = len(words)
-    for a, b in reversed(spans):
-        del words[a:b]
-    return words, n
-
-
 def _pieces(raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     if not spans:
         return [raw]
@@ -31,9 +23,9 @@ def _pieces(raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 
 def _each(b: pa.RecordBatch):
     text = b.column(1)
-    for i, (spans, whole) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+    for i, (spans, copy) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
         buf = text[i].as_buffer()
-        yield buf.to_pybytes() if buf is not None else b"", span_array(spans, whole)
+        yield buf.to_pybytes() if buf is not None else b"", spans, copy
 
 
 def _rows(b: pa.RecordBatch, names: list[str], kinds: list, rows: list[tuple]) -> pa.RecordBatch:
@@ -57,8 +49,11 @@ def substring_dedup(spark, docs: DataFrame, length: int = 50, carry: tuple[str,
     def out(batches):
         for b in batches:
             rows = []
-            for raw, spans in _each(b):
-                words, n = _cut_words(raw, spans)
+            for raw, spans, copy in _each(b):
+                words = raw.split()
+                n = len(words)
+                for i, j in reversed(span_array(spans, copy, n, length)):
+                    del words[i:j]
                 kept = b" ".join(words)
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
             yield _rows(b, ["n_words", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.string(), pa.string()], rows)
@@ -83,7 +78,8 @@ def suffix_array_dedup(spark, docs: DataFrame, length: int = 100, carry: tuple[s
     def out(batches):
         for b in batches:
             rows = []
-            for raw, spans in _each(b):
+            for raw, packed, copy in _each(b):
+                spans = span_array(packed, copy, len(raw), length)
                 pieces = _pieces(raw, spans)
                 kept = b"".join(pieces)
                 rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), "".join(p.decode("utf-8", "ignore") for p in pieces) if decode else kept))

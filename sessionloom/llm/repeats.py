@@ -23,8 +23,6 @@ fragments, not the copies of one text.
 
 from __future__ import annotations
 
-import hashlib
-import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -99,7 +97,7 @@ def _to_docs(values, docs, info, bits, kind):
 
 
 def _anchors(kind: Kind, bits: int):
-    """Kind 0: an anchor, its document and places; 1: a shared anchor of a document; 2: size and digest; 3: a hot anchor."""
+    """Kind 0: an anchor, its document and places; 1: a shared anchor of a document; 3: a hot anchor."""
 
     def flush(hold):
         values, docs = (np.concatenate(x) for x in zip(*hold))
@@ -131,10 +129,6 @@ def _anchors(kind: Kind, bits: int):
                 low, text = low[keep], text[keep]
             hold.append((low, ids[text]))
             held += len(low)
-            raw = data.tobytes()
-            digest = np.frombuffer(b"".join(hashlib.md5(raw[a:b]).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())), np.uint64).reshape(-1, 2)
-            size = np.diff(ranges).astype(np.uint64)
-            yield _to_docs(size, ids, digest.copy().view("V16").ravel(), bits, 2)
             if held >= ex.FLUSH:
                 yield from flush(hold)
                 hold, held = [], 0
@@ -166,40 +160,33 @@ def _shared(bits: int, hot: int):
     return run
 
 
-DOCS = "doc_id long, size long, k1 long, k2 long, anchors binary"
+DOCS = "doc_id long, anchors binary"
 
 
 def _per_doc(batches):
-    ids, sizes, digests, values, docs = [], [], [], [], []
+    """The shared anchors of each document that has any; the hot ones under a null document."""
+    values, docs = [], []
     for b in batches:
         k = b.column(4).to_numpy()
         x, _, _ = ex.unpack([b.filter(pa.array(k == 3))], value=np.uint64)
         if len(x["value"]):
-            yield ex.batch({"doc_id": pa.array([None], pa.int64()), "size": np.zeros(1, np.int64), "k1": np.zeros(1, np.int64), "k2": np.zeros(1, np.int64), "anchors": pa.array([x["value"].tobytes()], pa.binary())})
-        x, _, _ = ex.unpack([b.filter(pa.array(k == 2))], value=np.uint64, doc=np.int64, info=np.dtype("V16"))
-        ids.append(x["doc"])
-        sizes.append(x["value"].view(np.int64))
-        digests.append(np.frombuffer(x["info"].tobytes(), np.int64).reshape(-1, 2))
+            yield ex.batch({"doc_id": pa.array([None], pa.int64()), "anchors": pa.array([x["value"].tobytes()], pa.binary())})
         x, _, _ = ex.unpack([b.filter(pa.array(k == 1))], value=np.uint64, doc=np.int64)
         values.append(x["value"])
         docs.append(x["doc"])
-    if not ids:
+    if not values:
         return
-    ids, first = np.unique(np.concatenate(ids), return_index=True)
-    sizes, digests = np.concatenate(sizes)[first], np.concatenate(digests)[first]
     v, d = np.concatenate(values), np.concatenate(docs)
     order = np.lexsort((v, d))
     v, d = v[order], d[order]
     keep = np.ones(len(v), bool)
     keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
     v, d = v[keep], d[keep]
-    lo, hi = np.searchsorted(d, ids, "left"), np.searchsorted(d, ids, "right")
+    at = np.append(ex.group_starts(d), len(d))
     raw = v.tobytes()
-    for i in range(0, len(ids), 2000):
-        yield ex.batch({
-            "doc_id": ids[i : i + 2000], "size": sizes[i : i + 2000], "k1": digests[i : i + 2000, 0], "k2": digests[i : i + 2000, 1],
-            "anchors": pa.array([raw[8 * a : 8 * b] or None for a, b in zip(lo[i : i + 2000], hi[i : i + 2000])], pa.binary()),
-        })
+    for i in range(0, len(at) - 1, 2000):
+        lo, hi = at[i : min(i + 2000, len(at) - 1)], at[i + 1 : i + 2001]
+        yield ex.batch({"doc_id": d[lo], "anchors": pa.array([raw[8 * a : 8 * b] for a, b in zip(lo, hi)], pa.binary())})
 
 
 FRAGMENTS = ex.pack_schema("anchor", "content", "doc", "start", "count", "body")
@@ -227,7 +214,8 @@ def _fragments(kind: Kind, bits: int, hot_bytes: bytes):
         cut = np.searchsorted(at, np.append(starts, len(bucket)))
         for i in range(len(starts)):
             mine = at[cut[i] : cut[i + 1]]
-            bodies.append(b"".join(hold[bases[j]][6][places[j] : places[j] + int(count[j]) + kind.length - 1].astype(item, copy=False).tobytes() for j in mine.tolist()))
+            whole = b"".join(hold[bases[j]][6][places[j] : places[j] + int(count[j]) + kind.length - 1].astype(item, copy=False).tobytes() for j in mine.tolist())
+            bodies.append(len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True))
         rows = ex.pack(bucket, {"anchor": anchor, "content": content, "doc": doc, "start": start.astype(np.int32), "count": np.where(first, count, -count).astype(np.int8)})
         yield rows.append_column("body", pa.array(bodies, pa.binary()))
 
@@ -317,7 +305,7 @@ def _match(kind: Kind, bits: int, matcher: Callable):
             size = np.where(x["count"] > 0, x["count"].astype(np.int64) + kind.length - 1, 0)
             body_at.append(base + np.cumsum(size) - size)
             base += int(size.sum())
-            bodies.extend(v for v in b.column(b.schema.get_field_index("body")).to_pylist())
+            bodies.extend(pa.decompress(v[8:], int.from_bytes(v[:8], "little"), "zstd", asbytes=True) for v in b.column(b.schema.get_field_index("body")).to_pylist())
         if not parts["anchor"]:
             return
         x = {k: np.concatenate(v) for k, v in parts.items()}
@@ -389,41 +377,40 @@ def _spans(length: int):
 
 
 def marked(docs: DataFrame, kind: Kind, matcher: Callable, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, spans, whole, and the columns to carry: every document with the elements that earlier windows cover.
+    """doc_id, text, spans, copy, and the columns to carry: every document with the elements that earlier windows cover.
 
     ``spans`` packs pairs of longs, (start, end) in elements, sorted and not
-    touching; null where nothing is covered.  A text equal to an earlier one is
-    one span if it has a window, of length ``whole``.
+    touching; null where nothing is covered.  ``copy`` is true for a text equal to
+    an earlier one: all of it is covered if it has a window.
     """
     ex.prepare(docs.sparkSession)
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).where("doc_id is not null")
     docs = every.select("doc_id", "text")
     size = ex.input_bytes(docs)
     bits = ex.bucket_bits(size, 2 * ex.BUCKET_BYTES)
-    seen = ex.by_bucket(docs.mapInArrow(_anchors(kind, bits), SEEN), bits).mapInArrow(_shared(bits, max(HOT, size // 5_000_000)), SEEN)
-    info = ex.cut(ex.by_bucket(seen, bits).mapInArrow(_per_doc, DOCS).where((F.col("size") >= kind.length) | F.col("doc_id").isNull()))
-    hot = b"".join(bytes(r.anchors) for r in info.where("doc_id is null").select("anchors").collect())
+    digests = ex.cut(docs.where(F.octet_length("text") >= kind.length).select("doc_id", F.unhex(F.md5("text")).alias("k")))
+    lead = digests.groupBy("k").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead <> other").select("k", "lead")
+    copies = ex.cut(digests.join(lead, "k").where("doc_id <> lead").select("doc_id").distinct())
+    first = ex.anti(docs, copies, "doc_id", copies.count())
+    seen = ex.by_bucket(first.mapInArrow(_anchors(kind, bits), SEEN), bits).mapInArrow(_shared(bits, max(HOT, size // 5_000_000)), SEEN)
+    work = ex.cut(ex.by_bucket(seen, bits).mapInArrow(_per_doc, DOCS))
+    hot = b"".join(bytes(r.anchors) for r in work.where("doc_id is null").select("anchors").collect())
     hot = np.unique(np.frombuffer(hot, np.uint64)).tobytes()
-    info = info.where("doc_id is not null")
-    lead = info.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"))
-    ranked = info.join(lead, ["k1", "k2"]).select("doc_id", "size", "anchors", "lead")
-    copies = ranked.where("doc_id <> lead").select("doc_id", F.col("size").alias("whole"))
-    work = ex.cut(ranked.where("doc_id = lead and anchors is not null").select("doc_id", "anchors"))
-    rows = work.count()
-    near = ex.semi(docs, work.select("doc_id"), "doc_id", rows).join(work.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "anchors")
+    work = work.where("doc_id is not null")
+    near = ex.semi(docs, work.select("doc_id"), "doc_id", work.count()).join(work.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "anchors")
     parts = ex.by_bucket(near.mapInArrow(_fragments(kind, bits, hot), FRAGMENTS), bits).mapInArrow(_match(kind, bits, matcher), MARKS)
     spans = ex.by_bucket(parts, bits).mapInArrow(_spans(kind.length), SPANS)
-    found = ex.cut(spans.withColumn("whole", F.lit(None).cast("long")).unionByName(copies.withColumn("spans", F.lit(None).cast("binary"))))
+    found = ex.cut(spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy"))))
     rows = found.count()
     if rows > ex.BROADCAST_ROWS:
-        return every.join(found, "doc_id", "left").select("doc_id", "text", "spans", "whole", *carry)
+        return every.join(found, "doc_id", "left").select("doc_id", "text", "spans", "copy", *carry)
     ids = F.broadcast(found.select("doc_id"))
-    touched = every.join(ids, "doc_id", "left_semi").join(found.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "spans", "whole", *carry)
-    rest = every.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("long").alias("whole"), *carry)
+    touched = every.join(ids, "doc_id", "left_semi").join(found.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "spans", "copy", *carry)
+    rest = every.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("spans"), F.lit(False).alias("copy"), *carry)
     return touched.unionByName(rest)
 
 
-def span_array(spans: bytes | None, whole: int | None) -> list[tuple[int, int]]:
-    if whole is not None:
-        return [(0, whole)]
+def span_array(spans: bytes | None, copy: bool | None, n: int, length: int) -> list[tuple[int, int]]:
+    if copy:
+        return [(0, n)] if n >= length else []
     return [] if spans is None else [tuple(x) for x in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist()]
