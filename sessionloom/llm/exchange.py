@@ -13,7 +13,9 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that bound the memory of a Python task, where nobody set them."""
+    """What a query needs of its session: code for the workers, bounds for their memory, a checkpoint folder."""
+    _ship(spark)
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")):
         try:
             if spark.conf.get(key) in (None, "10000", "-1", str(2**63 - 1), "256MB", str(256 << 20), str(64 << 20)):
@@ -46,6 +49,24 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared)
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the workers this package, unless they start where they find it."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    found = Path.cwd() == root or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if sc.applicationId in _shipped or (sc.master.startswith("local") and found):
+        return
+    name = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted((root / __package__.split(".")[0]).rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(name))
+    _shipped.add(sc.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder: computed once, and safe when executors are lost."""
     prepare(df.sparkSession)
