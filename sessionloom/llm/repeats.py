@@ -118,7 +118,7 @@ def _anchors(kind: Kind, bits: int):
             new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
             at = np.flatnonzero(new)
             if not kind.words and len(at):  # equal windows within one run: its anchor counts as found twice
-                again = np.logical_or.reduceat(twice, at) | (np.diff(np.append(at, len(low))) > kind.length - kind.gram)
+                again = np.logical_or.reduceat(twice, at) | (np.diff(np.append(at, len(low))) > kind.length - kind.gram + 1)
                 at = np.concatenate([at, at[again]])
             low, text = low[at], text[at]
             if kind.words:  # a document is no match for itself: each anchor once
