@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .quality import quality_sql
 
+#: The rank file that counts chat tokens, where there is one.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -31,6 +35,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, _read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_windows, read_back
+
+    hard = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return read_back(chat_windows(spark, rows, tokenizer=TOKENIZER if os.path.exists(TOKENIZER) else None))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup import suffix_array_dedup
 
@@ -66,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm_scores": op2_ppm_scores,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
