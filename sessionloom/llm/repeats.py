@@ -255,7 +255,7 @@ def _fragments(kind: Kind, bits: int, hot_bytes: bytes):
                 body = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32) if kind.words else data
                 hold.append((low[at], content, ids[text[at]], start[at] - ranges[text[at]], count, start[at], body))
                 held += int((count + kind.length).sum())
-                if held >= ex.FLUSH * 8 or len(hold) >= 16:
+                if held >= ex.FLUSH * 8 or len(hold) >= 64:
                     yield from flush(hold)
                     hold, held = [], 0
         if hold:
@@ -387,7 +387,7 @@ def marked(docs: DataFrame, kind: Kind, matcher: Callable, carry: tuple[str, ...
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).where("doc_id is not null")
     docs = every.select("doc_id", "text")
     size = ex.input_bytes(docs)
-    bits = ex.bucket_bits(size, 2 * ex.BUCKET_BYTES)
+    bits = ex.bucket_bits(size)
     digests = ex.cut(docs.where(F.octet_length("text") >= kind.length).select("doc_id", F.unhex(F.md5("text")).alias("k")))
     lead = digests.groupBy("k").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead <> other").select("k", "lead")
     copies = ex.cut(digests.join(lead, "k").where("doc_id <> lead").select("doc_id").distinct())
