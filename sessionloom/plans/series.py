@@ -199,3 +199,61 @@ def _(spark, d):
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     raw = o.select(F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("symbol"), F.col("o_orderdate").alias("Date"), p.alias("Open"), (p + 5 - k % 11).alias("High"), (p - 3).alias("Low"), F.when(k % 13 == 0, None).when(k % 17 == 0, -p).otherwise(p + 1).alias("Close"), F.when(k % 5 == 0, None).otherwise(k).alias("Volume"))
     return normalize(raw, cutoff=datetime(1998, 1, 1).date())
+
+
+@query("a10_structure_inputs", f"""{ORD}, p AS (SELECT symbol, date, high / 100000.0 AS h, low / 100000.0 AS l, close / 100000.0 AS c, lag(close / 100000.0) OVER w AS pc, volume, lag(volume) OVER w AS v1 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+  q AS (SELECT *, ln(c) - ln(pc) AS r, greatest(h - l, coalesce(abs(h - pc), h - l), coalesce(abs(l - pc), h - l)) AS tr FROM p)
+  SELECT symbol, date, round(CASE WHEN count(r) OVER s >= 60 THEN stddev_samp(r) OVER s * sqrt(252) END, 5) AS sigma, round(CASE WHEN count(*) OVER a >= 20 THEN avg(tr) OVER a END, 4) AS atr, round(CASE WHEN count(v1) OVER m >= 250 THEN volume / median(v1) OVER m END, 6) AS vn
+  FROM q WINDOW s AS (PARTITION BY symbol ORDER BY date ROWS 59 PRECEDING), a AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), m AS (PARTITION BY symbol ORDER BY date ROWS 249 PRECEDING)""")
+def _(spark, d):
+    from sessionloom.operators.structures import prepare
+
+    return prepare(bars_of_orders(spark, d)).select("symbol", "date", F.round("sigma", 5).alias("sigma"), F.round("atr", 4).alias("atr"), F.round("vn", 6).alias("vn"))
+
+
+def _smooth(spark, d):
+    """Brand bars with moves a tenth as large: the invented prices are noise that no structure fits."""
+    b = bars_of_brands(spark, d)
+    return b.select("symbol", "date", *(F.rint(F.lit(1e7) * F.exp(F.log(F.col(c).cast("double") / 1e7) / 10)).cast("long").alias(c) for c in ("open", "high", "low", "close", "adj_close")), "volume")
+
+
+@query("a11_a18_structures")
+def _(spark, d):
+    from sessionloom.operators.structures import scan
+
+    return scan(_smooth(spark, d))
+
+
+@query("a18_audit_buffer")
+def _(spark, d):
+    from sessionloom.operators.structures import audit_buffer
+
+    return audit_buffer(_smooth(spark, d))
+
+
+@query("a19_a25_projection")
+def _(spark, d):
+    from sessionloom.operators.projection import project
+
+    return project(bars_of_orders(spark, d))
+
+
+@query("a24_walk_forward")
+def _(spark, d):
+    from sessionloom.operators.projection import walk_forward
+
+    return walk_forward(bars_of_orders(spark, d))
+
+
+@query("a27_analogs")
+def _(spark, d):
+    from sessionloom.operators.projection import analogs
+
+    return analogs(bars_of_orders(spark, d), "p1", window=26, ahead=13, least=100)[0]
+
+
+@query("a27_analog_fan")
+def _(spark, d):
+    from sessionloom.operators.projection import analogs
+
+    return analogs(bars_of_orders(spark, d), "p1", window=26, ahead=13, least=100)[1]
