@@ -110,8 +110,8 @@ def quality_measures(text: Column) -> Column:
     )
 
 
-def _flat(m: str) -> dict[str, Column]:
-    return {c: F.col(f"{m}.w.{c}") for c in ("n_words", "n_repeat_words", "n_stop")} | {c: F.col(f"{m}.l.{c}") for c in ("n_lines", "n_dup_lines")} | {c: F.col(f"{m}.{c}") for c in ("word_chars", "n_symbols", "n_exclaim")}
+def _flat(m: Column) -> dict[str, Column]:
+    return {c: m["w"][c] for c in ("n_words", "n_repeat_words", "n_stop")} | {c: m["l"][c] for c in ("n_lines", "n_dup_lines")} | {c: m[c] for c in ("word_chars", "n_symbols", "n_exclaim")}
 
 
 def _verdicts(flat: dict[str, Column], rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -124,8 +124,8 @@ def _verdicts(flat: dict[str, Column], rules: tuple[Rule, ...]) -> tuple[Column,
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
-    m = docs.withColumn("__m", quality_measures(F.col("text")))
-    return m.where(_verdicts(_flat("__m"), rules)[1]).drop("__m")
+    # one expression: a filter on columns of a struct would compute the struct for each of them
+    return docs.where(let(quality_measures(F.col("text")), lambda m: _verdicts(_flat(m), rules)[1]))
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -138,7 +138,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     null.  Other columns are ignored.
     """
     m = docs.select("doc_id", quality_measures(F.col("text")).alias("m"))
-    flat = _flat("m")
+    flat = _flat(F.col("m"))
     base, kept = _verdicts(flat, rules)
     return m.select("doc_id", *(flat[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base.alias("base_failed"), kept.alias("kept"), *(flat[c].alias(c) for c in ("n_lines", "n_stop", "n_exclaim")))
 
