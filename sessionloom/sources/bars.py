@@ -49,7 +49,9 @@ def read_bars(spark: SparkSession, path: str, columns: tuple[str, ...] | None =
     """
     want = columns or (*PRICES, "volume")
     df = spark.read.schema(T.StructType([f for f in BARS_SCHEMA if f.name != "symbol"])).parquet(path)
-    df = df.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1).alias("symbol"), "date", *want)
+    # Spark gives file names as in a URL
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    df = df.select(F.regexp_extract(name, r"^(.*)\.parquet$", 1).alias("symbol"), "date", *want)
     return df.where(F.col("symbol").isin(symbols)) if symbols else df
 
 
