@@ -92,4 +92,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {"op10_quality_rules": quality_sql()}
+_WORD = "'[^\\x20\\x09-\\x0D]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The documented results in DuckDB's SQL, where it can say them over whole tables.
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3) UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 70 * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v, same FROM l UNION ALL SELECT b, a, same FROM l),
+r(node, root) AS (SELECT u, u FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node),
+c AS (SELECT node, min(root) AS comp FROM r GROUP BY node),
+k AS (SELECT u, count(*) AS k, count(*) FILTER (WHERE same) AS same FROM e GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(k, 0) AS n_similar, coalesce(comp, d.doc_id) AS component_id, 1 + coalesce(same, 0) AS copies
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id LEFT JOIN k ON k.u = d.doc_id""",
+    "op4_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+st AS (SELECT win.doc_id, i FROM win JOIN f USING (h) WHERE m < win.doc_id),
+wd AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+cov AS (SELECT wd.doc_id, j, x, coalesce(max(i) OVER (PARTITION BY wd.doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) >= j - 49, FALSE) AS gone FROM wd LEFT JOIN st ON st.doc_id = wd.doc_id AND st.i = j),
+t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(x, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM cov GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
+    "op10_quality_rules": quality_sql(),
+}
