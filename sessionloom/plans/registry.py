@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sessionloom.plans import cross, series, studies  # noqa: F401
+    from sessionloom.plans import bundles, cross, series, studies  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

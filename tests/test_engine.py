@@ -224,3 +224,27 @@ def test_catalog_files_and_shards(spark, tmp_path):
     assert sinks.write_shards(df, "k", str(folder)) == ["a.js", "b.js"]
     assert '"v":null' in (folder / "a.js").read_text() and not (folder / "gone.js").exists()
     assert math.isclose(stats.t_two_sided(0, 5), 1.0)
+
+
+def test_service_function(spark):
+    from sessionloom.operators.bundles import health, run_event
+
+    b = bars_of(spark, x=[100, 98, 97, 99, 95, 96])
+    got = run_event(b, {"symbol": "x", "threshold": "-0.01", "day": ""})
+    assert got["stats"]["n"] == 3 and sum(got["bins"]) == 3 and len(got["rows"]) == 3
+    assert run_event(b, {"symbol": "x", "threshold": "-0.5"})["stats"]["n"] == 0
+    assert len(run_event(b, {"symbol": "x", "threshold": "-0.5", "worst_n": "2"})["rows"]) == 2
+    assert health(b) == {"count": 1, "as_of": sessions(6)[-1].isoformat()}
+    for bad in ({"symbol": "x", "zz": "1"}, {"threshold": "-1"}, {"symbol": "x", "day": "q"}):
+        with pytest.raises(ValueError):
+            run_event(b, bad)
+
+
+def test_metadata_and_names(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("ticker,name,sector\nA,Foo Inc.,Technology\nBRK-B,,\n")
+    m = N.read_members(spark, str(tmp_path / "m.csv"))
+    extra = spark.createDataFrame([("^A", "x", "Energy", ""), ("GC=F", "Gold", "Healthcare", "")], "ticker string, name string, sector string, industry string")
+    got = {r.stem: (r.sector, r.industry) for r in N.merge_metadata(m, extra).collect()}
+    assert got == {"A": ("Information Technology", ""), "BRK-B": ("", ""), "GOLD": ("Health Care", "")}
+    names = spark.createDataFrame([("Foo Holdings, Inc.",), ("Bar Company",), ("Cole",)], "n string").select(N.tidy_name(F.col("n")).alias("n"))
+    assert [r.n for r in names.collect()] == ["Foo", "Bar", "Cole"]
