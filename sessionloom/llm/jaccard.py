@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import os
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -413,8 +414,6 @@ def _light_bound(percent: int, mean_list: float) -> int:
     """The largest size up to which subsets cost no more than scanning lists."""
     x = 0
     for s in range(1, LIGHT_MAX + 1):
-        from math import comb
-
         subsets = sum(comb(s, overlap(percent, s, t)) for t in range(need(percent, s), s * 100 // percent + 1) if overlap(percent, s, t) <= s)
         if subsets > (s - need(percent, s) + 1) * max(1.0, mean_list):
             break
@@ -442,7 +441,7 @@ def class_links(spark, docs: DataFrame, percent: int = 70, width: int = 3) -> tu
     classes = ex.cut(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("shared").alias("shared")))
     left = classes.where(F.col("shared") * 100 >= F.col("n") * percent)
     stats = left.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
-    light = _light_bound(percent, 2.0)
+    light = _light_bound(percent, 2.0)  # lists taken as short as they can be: subsets only where they surely cost less
     post = ex.semi(docs, left.select(F.col("rep").alias("doc_id")), "doc_id", stats["rows"]).mapInArrow(_postings(width, bits, packed), POSTINGS)
     index = ex.by_bucket(ex.by_bucket(post, bits).mapInArrow(_frequencies(bits), POSTINGS), bits).mapInArrow(_index(percent, light), INDEX)
     index = ex.cut(index)
