@@ -96,21 +96,25 @@ class Index:
             a, b = int(self.ranges[item]), int(self.ranges[item + 1])
             lo, hi = max(a, int(ranges[text]) - shift), min(b, int(ranges[text + 1]) - shift)
             same = self.h[lo:hi] == h[lo + shift : hi + shift]
-            best = self._best(same)
-            if best and best[2] >= min(self.min_tokens, b - a):
-                out.append((text, item, lo + shift + best[0] - int(ranges[text]), lo + shift + best[1] - int(ranges[text]), best[2]))
+            first = lo + shift - int(ranges[text])
+            out += [(text, item, first + x, first + y, int(same[x:y].sum())) for x, y in self._stretches(same, min(self.min_tokens, b - a))]
         return out
 
-    def _best(self, same: np.ndarray) -> tuple[int, int, int] | None:
-        """The stretch of most agreement less the price of its substitutions."""
-        price = (100 - self.mismatch) / self.mismatch if self.mismatch else 1e9
-        sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -price))])
-        low = np.minimum.accumulate(sums)
-        end = int(np.argmax(sums - low))
-        if sums[end] - low[end] <= 0:
-            return None
-        begin = int(np.argmin(sums[: end + 1]))
-        return begin, end, int(same[begin:end].sum())
+    def _stretches(self, same: np.ndarray, least: int) -> list[tuple[int, int]]:
+        """The union of all stretches, from an agreeing token to another, with ``least`` agreeing tokens or more and few enough substitutions."""
+        if same.sum() < least:
+            return []
+        # a stretch is good if its sum is not negative
+        sums = np.concatenate([[0], np.cumsum(np.where(same, self.mismatch, self.mismatch - 100))])
+        agree = np.concatenate([[0], np.cumsum(same)])
+        ends = np.flatnonzero(same) + 1
+        begins = ends - 1
+        # the last good end of each begin, whose stretch has the most agreeing tokens
+        highest = np.maximum.accumulate(sums[ends][::-1])[::-1]
+        end = ends[np.searchsorted(-highest, -sums[begins], "right") - 1]
+        ok = (end > begins) & (agree[end] - agree[begins] >= least)
+        first, last = vec.merge_spans(begins[ok], end[ok])
+        return list(zip(first.tolist(), last.tolist()))
 
 
 RESULT = "doc_id long, contaminated boolean, n_tokens long, matched_tokens long, items array<long>, spans array<struct<first:long,end:long>>"
@@ -141,9 +145,9 @@ def decontaminate(spark, docs: DataFrame, benchmark: DataFrame, masks: tuple[str
     """doc_id, contaminated, n_tokens, matched_tokens, items, spans: training texts that hold test items.
 
     Tokens are words with A-Z lower-cased.  A text is contaminated by an item if,
-    around a seed hit, ``min_tokens`` tokens (or all of a shorter item) agree in a
-    stretch with at most ``mismatch`` substitutions in a hundred.  ``items`` are
-    the item_ids, ``spans`` the union of the overlaps in tokens.
+    on the diagonal of a seed hit, ``min_tokens`` tokens (or all of a shorter item)
+    agree in any stretch with at most ``mismatch`` substitutions in a hundred.
+    ``items`` are the item_ids, ``spans`` the union of all such stretches in tokens.
 
     Null and empty texts are clean; items without words match nothing; rows with
     a null doc_id are left out, items with a null item_id have id -1; repeated

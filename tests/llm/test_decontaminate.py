@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sessionloom.llm import decontaminate as dc
 
 
@@ -61,3 +63,41 @@ def test_search_finds_what_brute_force_finds():
                 if sum(same) >= 21:
                     want.add((t, i))
     assert want and want <= got
+
+
+def stretches(same, least, mismatch):
+    """Tokens of all stretches within the bound, by trying each."""
+    held = set()
+    for a in range(len(same)):
+        for b in range(a + 1, len(same) + 1):
+            if same[a] and same[b - 1] and sum(same[a:b]) >= least and 100 * (b - a - sum(same[a:b])) <= mismatch * (b - a):
+                held |= set(range(a, b))
+    return held
+
+
+@pytest.mark.parametrize("size, places", [(15, (1, 3)), (20, (11, 13, 15, 17))])
+def test_overlap_whose_shorter_run_scores_higher(size, places):
+    item = [f"w{k}" for k in range(size)]
+    text = ["before"] * 5 + ["changed" if k in places else x for k, x in enumerate(item)] + ["after"] * 5
+    index = dc.Index([0], [" ".join(item)], dc.MASKS, 12, 25)
+    found = index.search(*dc._tokens([" ".join(text)]))
+    assert [(t, i) for t, i, *_ in found] == [(0, 0)] and found[0][4] >= 12
+
+
+def test_every_overlap_within_the_bound_on_a_hit_diagonal():
+    r = random.Random(3)
+    items = [[f"i{k}w{j}" for j in range(r.choice([15, 16, 18, 20, 40]))] for k in range(60)]
+    index = dc.Index(list(range(60)), [" ".join(x) for x in items], dc.MASKS, 12, 25)
+    texts, want = [], {}
+    for k, item in enumerate(items):
+        places = r.sample(range(len(item)), r.choice([2, 3, 3, 4, len(item) // 4]))
+        texts.append(["x"] * 4 + ["changed" if j in places else x for j, x in enumerate(item)] + ["y"] * 4)
+        same = [j not in places for j in range(len(item))]
+        hit = any(all(same[a + j] for j, c in enumerate(m) if c == "1") for m in dc.MASKS for a in range(len(item) - len(m) + 1))
+        if hit and (held := stretches(same, 12, 25)):
+            want[k] = {x + 4 for x in held}
+    got = {}
+    for t, i, a, b, _ in index.search(*dc._tokens([" ".join(x) for x in texts])):
+        assert t == i
+        got.setdefault(t, set()).update(range(a, b))
+    assert len(want) > 30 and got == want
