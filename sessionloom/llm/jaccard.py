@@ -23,7 +23,6 @@ puts them last.
 from __future__ import annotations
 
 import itertools
-import os
 from math import comb
 
 import numpy as np
@@ -101,7 +100,7 @@ def _scan(width: int, bits: int):
     """Step 1, where the texts are: elements by bucket, and a record of each set."""
     shift = np.uint64(64 - bits)
 
-    def flush(hold, spread):
+    def flush(hold):
         values, texts, ids, sizes, keys = (np.concatenate(x) for x in zip(*hold))
         order = np.argsort(values)
         v, t = values[order], texts[order]
@@ -119,21 +118,25 @@ def _scan(width: int, bits: int):
             names.append(ids[mine].tobytes())
         rows = ex.pack(bucket, {"value": v[at], "who": who})
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.binary()), pa.array([b""] * len(names), pa.binary())], ["bucket", "value", "who", "ids", "info"])
+        # a record goes by its text's id, so a task that is run again sends it to the same bucket
         info = np.column_stack([ids, sizes, keys, local]).astype(np.int64)
-        yield ex.batch({"bucket": pa.array([spread % (1 << bits)], pa.int32()), "value": pa.array([b""], pa.binary()), "who": pa.array([b""], pa.binary()), "ids": pa.array([b""], pa.binary()), "info": pa.array([info.tobytes()], pa.binary())})
+        bucket = _doc_bucket(ids, bits)
+        order = np.argsort(bucket, kind="stable")
+        rows = ex.pack(bucket[order], {"info": info[order].reshape(-1).view("V40")})
+        none = pa.array([b""] * len(rows), pa.binary())
+        yield pa.RecordBatch.from_arrays([rows.column(0), none, none, none, rows.column(1)], ["bucket", "value", "who", "ids", "info"])
 
     def run(batches):
         hold, held, texts_at = [], 0, 0
-        spread = int.from_bytes(os.urandom(3), "little")
         for ids, data, off in ex.text_chunks(batches):
             values, texts, sizes = shingle_sets(data, off, width)
             hold.append((values, texts + texts_at, ids, sizes, _set_keys(values, sizes)))
             held, texts_at = held + len(values), texts_at + len(ids)
             if held >= ex.FLUSH:
-                yield from flush(hold, spread)
-                hold, held, texts_at, spread = [], 0, 0, spread + 1
+                yield from flush(hold)
+                hold, held, texts_at = [], 0, 0
         if hold:
-            yield from flush(hold, spread)
+            yield from flush(hold)
 
     return run
 

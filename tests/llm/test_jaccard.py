@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from sessionloom.llm import jaccard
 from sessionloom.llm.jaccard import ngram_jaccard
 
 
@@ -50,3 +53,11 @@ def test_repeated_rows_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (3, "x")], "doc_id long, text string")
     assert sorted(tuple(r)[:4] for r in ngram_jaccard(spark, df).collect()) == [(1, 3, 1, 1), (2, 3, 1, 1), (3, 1, 0, 3)]
     assert ngram_jaccard(spark, df.limit(0)).collect() == []
+
+
+def test_a_task_run_again_sends_its_rows_to_the_same_buckets():
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(50), pa.int64()), "text": [f"a b c d e f{k} g h" for k in range(50)]})
+    first, again = ([r for b in jaccard._scan(3, 10)([batch]) for r in b.to_pylist()] for _ in range(2))
+    assert first == again
+    held = [x for r in first for x in np.frombuffer(r["info"], np.int64).reshape(-1, 5)[:, 0].tolist()]
+    assert sorted(held) == list(range(50))
