@@ -15,14 +15,14 @@ from .repeats import windows_twice
 
 
 class SuffixAutomaton:
-    """Generalised online suffix automaton (Blumer et al.) of integer sequences."""
+    """Generalised online suffix automaton (Blumer et al.) of sequences of words."""
 
     __slots__ = ("length", "link", "next")
 
     def __init__(self) -> None:
         self.length, self.link, self.next = [0], [-1], [{}]
 
-    def add(self, sequence: list[int]) -> None:
+    def add(self, sequence: list) -> None:
         length, link, nxt = self.length, self.link, self.next
         last = 0
         for c in sequence:
@@ -58,7 +58,7 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
-    def matching(self, sequence: list[int]) -> list[int]:
+    def matching(self, sequence: list) -> list[int]:
         """For each place, the length of the longest substring that ends there and was added."""
         length, link, nxt = self.length, self.link, self.next
         state, n, out = 0, 0, []
@@ -75,14 +75,15 @@ class SuffixAutomaton:
         return out
 
 
-def match_words(kind, anchor: np.ndarray, body: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def match_words(kind, anchor: np.ndarray, body: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Marks of the windows of each distinct fragment that occur in a fragment of a smaller document.
 
     Fragments come with their earliest document.  An anchor with one fragment
     has nothing to match, and a fragment whose windows' hashes occur once neither.
+    The automaton compares the words themselves.
     """
     mask = np.zeros(len(anchor), np.uint64)
-    need = np.flatnonzero(windows_twice(kind, body, at, n))
+    need = np.flatnonzero(windows_twice(kind, body, at, size, n))
     order = need[np.lexsort((doc[need], anchor[need]))]
     a = anchor[order]
     bounds = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
@@ -91,7 +92,7 @@ def match_words(kind, anchor: np.ndarray, body: np.ndarray, at: np.ndarray, n: n
             continue
         shard, waiting, held = SuffixAutomaton(), [], None
         for j in order[lo:hi].tolist():
-            words = body[at[j] : at[j] + n[j] + kind.length - 1].tolist()
+            words = body[at[j] : at[j] + size[j]].tobytes().split()
             if doc[j] != held:  # what the same document holds is no earlier document
                 for w in waiting:
                     shard.add(w)

@@ -43,8 +43,9 @@ def substring_dedup(spark, docs: DataFrame, length: int = 50, carry: tuple[str,
     is the words left, joined by one space, and ``kept_sha256`` its digest.
 
     Null and empty texts have no words.  Rows with a null doc_id are left out;
-    rows that repeat a doc_id are the same document, so they do not match each
-    other, and each gives a row.  Columns named in ``carry`` follow; others are ignored.
+    rows that repeat a doc_id, with the same text or another, give a row each, are
+    each judged against smaller doc_ids and do not match each other.  Columns named
+    in ``carry`` follow; others are ignored.
     """
     def out(batches):
         for b in batches:
@@ -72,8 +73,9 @@ def suffix_array_dedup(spark, docs: DataFrame, length: int = 100, carry: tuple[s
     string, without the parts of characters that a cut leaves.
 
     Null texts count as empty.  Rows with a null doc_id are left out; rows that
-    repeat a doc_id are the same document, and each gives a row.  Columns named in
-    ``carry`` follow; others are ignored.
+    repeat a doc_id, with the same text or another, give a row each, are each judged
+    against smaller doc_ids and their own text, and do not match each other.  Columns
+    named in ``carry`` follow; others are ignored.
     """
     def out(batches):
         for b in batches:

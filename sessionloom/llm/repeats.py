@@ -18,7 +18,12 @@ equal windows have equal anchors, and a run of windows shares one.
    an earlier equal; the marks return to the documents as bit masks.
 
 No step pairs documents, and what a task holds follows its bucket of distinct
-fragments, not the copies of one text.
+fragments, not the copies of one text.  Fragments travel with their bytes, and
+windows are compared by these; hashes alone decide that two whole texts (MD5) or
+two fragments of one anchor (anchor and content, 128 bits) are equal.
+
+A row is a document: rows that repeat a doc_id with another text are told apart by
+a *tag*, a hash of the text that is 0 for all others, and neither is earlier.
 """
 
 from __future__ import annotations
@@ -189,44 +194,45 @@ def _per_doc(batches):
         yield ex.batch({"doc_id": d[lo], "anchors": pa.array([raw[8 * a : 8 * b] for a, b in zip(lo, hi)], pa.binary())})
 
 
-FRAGMENTS = ex.pack_schema("anchor", "content", "doc", "start", "count", "body")
+FRAGMENTS = ex.pack_schema("anchor", "content", "doc", "tag", "start", "count", "size", "body")
 
 
 def _fragments(kind: Kind, bits: int, hot_bytes: bytes):
-    hot = np.frombuffer(hot_bytes, np.uint64)
-
     """Runs of windows with a shared anchor: (anchor, content hash, document, start, windows), and each content once."""
+    hot = np.frombuffer(hot_bytes, np.uint64)
 
     def flush(hold):
-        anchor, content, doc, start, count = (np.concatenate([h[i] for h in hold]) for i in range(5))
-        # distinct contents first in their bucket's order, with their elements
-        order = np.lexsort((start, doc, content, anchor))
-        anchor, content, doc, start, count = anchor[order], content[order], doc[order], start[order], count[order]
+        anchor, content, doc, tag, start, count, place, size = (np.concatenate([h[i] for h in hold]) for i in range(8))
+        # distinct contents first in their bucket's order, with their bytes
+        order = np.lexsort((start, tag, doc, content, anchor))
+        anchor, content, doc, tag, start, count, place, size = (x[order] for x in (anchor, content, doc, tag, start, count, place, size))
         first = np.ones(len(anchor), bool)
         first[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
         bases = np.concatenate([np.full(len(h[0]), i) for i, h in enumerate(hold)])[order]
-        places = np.concatenate([h[5] for h in hold])[order]
         bucket = (anchor >> np.uint64(64 - bits)).astype(np.int32)
-        item = np.uint32 if kind.words else np.uint8
         starts = ex.group_starts(bucket)
         bodies = []
         at = np.flatnonzero(first)
         cut = np.searchsorted(at, np.append(starts, len(bucket)))
         for i in range(len(starts)):
             mine = at[cut[i] : cut[i + 1]]
-            whole = b"".join(hold[bases[j]][6][places[j] : places[j] + int(count[j]) + kind.length - 1].astype(item, copy=False).tobytes() for j in mine.tolist())
+            whole = b"".join(hold[bases[j]][8][place[j] : place[j] + size[j]].tobytes() for j in mine.tolist())
             bodies.append(len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True))
-        rows = ex.pack(bucket, {"anchor": anchor, "content": content, "doc": doc, "start": start.astype(np.int32), "count": np.where(first, count, -count).astype(np.int8)})
+        rows = ex.pack(bucket, {"anchor": anchor, "content": content, "doc": doc, "tag": tag, "start": start.astype(np.int32), "count": count.astype(np.int8), "size": np.where(first, size, 0).astype(np.int32)})
         yield rows.append_column("body", pa.array(bodies, pa.binary()))
 
     def run(batches):
         hold, held = [], 0
         for b in batches:
             mine = b.column(b.schema.get_field_index("anchors")).to_pylist()
-            ids_all = b.column(0).to_numpy()
+            ids_all, tags_all = b.column(0).to_numpy(), b.column(b.schema.get_field_index("tag")).to_numpy()
             for r0, r1, data, off in vec.chunks(b.column(1)):
-                ids = ids_all[r0:r1]
-                values, ranges = elements(kind, data, off)
+                ids, tags = ids_all[r0:r1], tags_all[r0:r1]
+                if kind.words:
+                    s, e, ranges = vec.word_bounds(data, off)
+                    values = vec.word_hashes(data, s, e)
+                else:
+                    values, ranges = elements(kind, data, off)
                 start, text, low, _ = windows(kind, values, ranges)
                 keep = np.zeros(len(start), bool)
                 bounds = np.searchsorted(text, np.arange(len(ids) + 1))
@@ -250,10 +256,13 @@ def _fragments(kind: Kind, bits: int, hot_bytes: bytes):
                 sums = np.empty(len(values) + 1, np.uint64)
                 sums[0] = 0
                 np.cumsum(values * vec.power(vec._P, len(values)), out=sums[1:])
-                end = start[at] + count + kind.length - 1
-                content = vec.span_hash(sums, start[at], end) + count.astype(np.uint64)
-                body = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32) if kind.words else data
-                hold.append((low[at], content, ids[text[at]], start[at] - ranges[text[at]], count, start[at], body))
+                first, end = start[at], start[at] + count + kind.length - 1
+                content = vec.span_hash(sums, first, end) + count.astype(np.uint64)
+                tag = tags[text[at]]
+                if not kind.words:  # what a row of a repeated doc_id holds twice is found in its own fragments
+                    content = content ^ np.where(tag != 0, vec.mix(tag.view(np.uint64)), np.uint64(0))
+                place, size = (s[first], e[end - 1] - s[first]) if kind.words else (first, end - first)
+                hold.append((low[at], content, ids[text[at]], tag, first - ranges[text[at]], count, place, size, data))
                 held += int((count + kind.length).sum())
                 if held >= ex.FLUSH * 8 or len(hold) >= 64:
                     yield from flush(hold)
@@ -264,16 +273,15 @@ def _fragments(kind: Kind, bits: int, hot_bytes: bytes):
     return run
 
 
-def windows_twice(kind: Kind, body: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+def windows_twice(kind: Kind, body: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether a fragment holds a window whose hash another place has; the others match nothing."""
     hashes, whose = [], []
-    for i in range(0, len(at), 4096):
-        count = n[i : i + 4096]
-        size = count + kind.length - 1
-        ends = np.cumsum(size)
-        place = np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(at[i : i + 4096], size)
-        values = vec.mix(body[place].astype(np.uint64)) if kind.words else vec._BYTE[body[place]]
-        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends - size, count)
+    for i in range(0, len(at), 2000):
+        count, bytes_ = n[i : i + 2000], size[i : i + 2000]
+        off = np.concatenate([[0], np.cumsum(bytes_)])
+        place = np.arange(int(off[-1])) - np.repeat(off[:-1], bytes_) + np.repeat(at[i : i + 2000], bytes_)
+        values, ranges = elements(kind, body[place], off)
+        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ranges[:-1], count)
         hashes.append(vec.run_hashes(values, kind.length)[start])
         whose.append(np.repeat(np.arange(i, i + len(count)), count))
     out = np.zeros(len(at), bool)
@@ -288,43 +296,41 @@ def windows_twice(kind: Kind, body: np.ndarray, at: np.ndarray, n: np.ndarray) -
     return out
 
 
-MARKS = ex.pack_schema("doc", "start", "mask")
+MARKS = ex.pack_schema("doc", "tag", "start", "mask")
 
 
 def _match(kind: Kind, bits: int, matcher: Callable):
     """At the bucket of an anchor: which windows have an earlier equal."""
 
     def run(batches):
-        parts = {k: [] for k in ("anchor", "content", "doc", "start", "count")}
+        parts = {k: [] for k in ("anchor", "content", "doc", "tag", "start", "count", "size")}
         bodies, body_at, base = [], [], 0
-        item = 4 if kind.words else 1
         for b in batches:
-            x, _, _ = ex.unpack([b], anchor=np.uint64, content=np.uint64, doc=np.int64, start=np.int32, count=np.int8)
+            x, _, _ = ex.unpack([b], anchor=np.uint64, content=np.uint64, doc=np.int64, tag=np.int64, start=np.int32, count=np.int8, size=np.int32)
             for k in parts:
                 parts[k].append(x[k])
-            size = np.where(x["count"] > 0, x["count"].astype(np.int64) + kind.length - 1, 0)
+            size = x["size"].astype(np.int64)
             body_at.append(base + np.cumsum(size) - size)
             base += int(size.sum())
             bodies.extend(pa.decompress(v[8:], int.from_bytes(v[:8], "little"), "zstd", asbytes=True) for v in b.column(b.schema.get_field_index("body")).to_pylist())
         if not parts["anchor"]:
             return
         x = {k: np.concatenate(v) for k, v in parts.items()}
-        at, count = np.concatenate(body_at), x["count"].astype(np.int64)
-        body = np.frombuffer(b"".join(bodies), np.uint32 if item == 4 else np.uint8)
+        at = np.concatenate(body_at)
+        body = np.frombuffer(b"".join(bodies), np.uint8)
         del bodies, parts
-        order = np.lexsort((x["start"], x["doc"], x["content"], x["anchor"]))
-        anchor, content, doc, start = (x[k][order] for k in ("anchor", "content", "doc", "start"))
-        at, count = at[order], count[order]
+        order = np.lexsort((x["start"], x["tag"], x["doc"], x["content"], x["anchor"]))
+        anchor, content, doc, tag, start = (x[k][order] for k in ("anchor", "content", "doc", "tag", "start"))
+        at, n, size = at[order], x["count"][order].astype(np.int64), x["size"][order].astype(np.int64)
         first = np.ones(len(anchor), bool)
         first[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
         group = np.cumsum(first) - 1
         lead = np.flatnonzero(first)  # the earliest place of each content
-        # one of the rows of a content brings its elements
+        # one of the rows of a content brings its bytes
         bring = np.zeros(len(lead), np.int64)
-        has = np.flatnonzero(count > 0)
+        has = np.flatnonzero(size > 0)
         bring[group[has]] = has
-        n = np.abs(count)
-        mask = matcher(kind, anchor[lead], body, at[bring], n[lead], doc[lead], start[lead].astype(np.int64))
+        mask = matcher(kind, anchor[lead], body, at[bring], size[bring], n[lead], doc[lead], tag[lead], start[lead].astype(np.int64))
         full = np.where(n >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
         # words: places of the lead's document are judged as it is; bytes: a repeated row is the same place
         own = doc == doc[lead][group]
@@ -335,19 +341,19 @@ def _match(kind: Kind, bits: int, matcher: Callable):
         bucket = _doc_bucket(doc[keep], bits)
         by = np.argsort(bucket, kind="stable")
         keep = keep[by]
-        yield ex.pack(bucket[by], {"doc": doc[keep], "start": start[keep].astype(np.int32), "mask": out[keep]})
+        yield ex.pack(bucket[by], {"doc": doc[keep], "tag": tag[keep], "start": start[keep].astype(np.int32), "mask": out[keep]})
 
     return run
 
 
-SPANS = "doc_id long, spans binary"
+SPANS = "doc_id long, tag long, spans binary"
 
 
 def _spans(length: int):
     """At the bucket of a document: the union of its marked windows, as (start, end) pairs."""
 
     def run(batches):
-        x, _, _ = ex.unpack(batches, doc=np.int64, start=np.int32, mask=np.uint64)
+        x, _, _ = ex.unpack(batches, doc=np.int64, tag=np.int64, start=np.int32, mask=np.uint64)
         bits = (x["mask"][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) if len(x["mask"]) <= 200_000 else None
         if bits is not None:
             row, col = np.nonzero(bits)
@@ -358,20 +364,22 @@ def _spans(length: int):
                 rows.append((r + i).astype(np.int64))
                 cols.append(c)
             row, col = np.concatenate(rows), np.concatenate(cols)
-        d, s = x["doc"][row], x["start"][row].astype(np.int64) + col
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
+        d, t, s = x["doc"][row], x["tag"][row], x["start"][row].astype(np.int64) + col
+        order = np.lexsort((s, t, d))
+        d, t, s = d[order], t[order], s[order]
         if not len(d):
             return
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + length)
+        other = np.ones(len(d), bool)
+        other[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+        new = other.copy()
+        new[1:] |= s[1:] > s[:-1] + length
         at = np.flatnonzero(new)
-        d, s, e = d[at], s[at], s[np.append(at[1:] - 1, len(s) - 1)] + length
-        ids = ex.group_starts(d)
+        d, t, s, e, other = d[at], t[at], s[at], s[np.append(at[1:] - 1, len(s) - 1)] + length, other[at]
+        ids = np.flatnonzero(other)
         pairs = np.column_stack([s, e]).astype(np.int64)
         ends = np.append(ids[1:], len(d))
         for i in range(0, len(ids), 2000):
-            yield ex.batch({"doc_id": d[ids[i : i + 2000]], "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(ids[i : i + 2000], ends[i : i + 2000])], pa.binary())})
+            yield ex.batch({"doc_id": d[ids[i : i + 2000]], "tag": t[ids[i : i + 2000]], "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(ids[i : i + 2000], ends[i : i + 2000])], pa.binary())})
 
     return run
 
@@ -385,28 +393,39 @@ def marked(docs: DataFrame, kind: Kind, matcher: Callable, carry: tuple[str, ...
     """
     ex.prepare(docs.sparkSession)
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).where("doc_id is not null")
-    docs = every.select("doc_id", "text")
-    size = ex.input_bytes(docs)
+    size = ex.input_bytes(every.select("doc_id", "text"))
     bits = ex.bucket_bits(size)
-    digests = ex.cut(docs.where(F.octet_length("text") >= kind.length).select("doc_id", F.unhex(F.md5("text")).alias("k")))
+    digests = ex.cut(every.where(F.octet_length("text") > 0).select("doc_id", F.unhex(F.md5("text")).alias("k"), F.xxhash64("text").alias("tag"), (F.octet_length("text") >= kind.length).alias("long")))
+    mixed = ex.cut(digests.groupBy("doc_id").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("mixed")))
+    n_mixed = mixed.count()
+
+    def tagged(df, tag):
+        if not n_mixed:
+            return df.withColumn("tag", F.lit(0).cast("long"))
+        few = F.broadcast(mixed) if n_mixed <= ex.BROADCAST_ROWS else mixed
+        return df.join(few, "doc_id", "left").withColumn("tag", F.when(F.col("mixed"), tag).otherwise(F.lit(0).cast("long"))).drop("mixed")
+
+    row = ["doc_id", "tag"]
+    every = tagged(every, F.xxhash64("text")).select("doc_id", "text", "tag", *carry)
+    digests = tagged(digests.where("long"), F.col("tag"))
     lead = digests.groupBy("k").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead <> other").select("k", "lead")
-    copies = ex.cut(digests.join(lead, "k").where("doc_id <> lead").select("doc_id").distinct())
-    first = ex.anti(docs, copies, "doc_id", copies.count())
+    copies = ex.cut(digests.join(lead, "k").where("doc_id <> lead").select(*row).distinct())
+    first = ex.anti(every.select("doc_id", "text", "tag"), copies, row, copies.count())
     seen = ex.by_bucket(first.mapInArrow(_anchors(kind, bits), SEEN), bits).mapInArrow(_shared(bits, max(HOT, size // 5_000_000)), SEEN)
     work = ex.cut(ex.by_bucket(seen, bits).mapInArrow(_per_doc, DOCS))
     hot = b"".join(bytes(r.anchors) for r in work.where("doc_id is null").select("anchors").collect())
     hot = np.unique(np.frombuffer(hot, np.uint64)).tobytes()
     work = work.where("doc_id is not null")
-    near = ex.semi(docs, work.select("doc_id"), "doc_id", work.count()).join(work.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "anchors")
+    near = ex.semi(first, work.select("doc_id"), "doc_id", work.count()).join(work.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "anchors", "tag")
     parts = ex.by_bucket(near.mapInArrow(_fragments(kind, bits, hot), FRAGMENTS), bits).mapInArrow(_match(kind, bits, matcher), MARKS)
     spans = ex.by_bucket(parts, bits).mapInArrow(_spans(kind.length), SPANS)
-    found = ex.cut(spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy"))))
+    found = ex.cut(spans.withColumn("copy", F.lit(False)).unionByName(copies.select(*row, F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy"))))
     rows = found.count()
     if rows > ex.BROADCAST_ROWS:
-        return every.join(found, "doc_id", "left").select("doc_id", "text", "spans", "copy", *carry)
-    ids = F.broadcast(found.select("doc_id"))
-    touched = every.join(ids, "doc_id", "left_semi").join(found.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "spans", "copy", *carry)
-    rest = every.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("spans"), F.lit(False).alias("copy"), *carry)
+        return every.join(found, row, "left").select("doc_id", "text", "spans", "copy", *carry)
+    ids = F.broadcast(found.select(*row))
+    touched = every.join(ids, row, "left_semi").join(found.hint("shuffle_merge"), row).select("doc_id", "text", "spans", "copy", *carry)
+    rest = every.join(ids, row, "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("spans"), F.lit(False).alias("copy"), *carry)
     return touched.unionByName(rest)
 
 

@@ -3,8 +3,8 @@
 A shard is a few megabytes of fragments.  Suffixes are sorted by their first
 eight bytes, then groups of equal suffixes alone are refined by the rank of the
 suffix that follows, doubling the sorted length each round, until all differ or
-``limit`` bytes are sorted.  Common prefixes of neighbours follow Kasai's
-recurrence, taken for all suffixes at once from the ranks of each round.
+``limit`` bytes are sorted.  Common prefixes of neighbours are read for all suffixes
+at once from the ranks of each round; Kasai's recurrence would take them one by one.
 """
 
 from __future__ import annotations
@@ -101,21 +101,23 @@ def _shard(kind, body, at, n, doc, start):
     return order[keep], group[keep], fragment[keep], base, text
 
 
-def match_bytes(kind, anchor: np.ndarray, body: np.ndarray, at: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Marks of the windows of each distinct fragment with an equal window at an earlier place."""
+def match_bytes(kind, anchor: np.ndarray, body: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marks of the windows of each distinct fragment with an equal window at an earlier place.
+
+    Earlier is a smaller document, or the same row (document and tag) and a smaller start.
+    """
     mask = np.zeros(len(anchor), np.uint64)
     if not len(anchor):
         return mask
-    need = np.flatnonzero(windows_twice(kind, body, at, n))
-    need = need[np.lexsort((start[need], doc[need], anchor[need]))]
+    need = np.flatnonzero(windows_twice(kind, body, at, size, n))
+    need = need[np.lexsort((start[need], tag[need], doc[need], anchor[need]))]
     if not len(need):
         return mask
     # shards end between anchors unless one anchor's fragments exceed a shard
-    size = np.cumsum(n[need] + kind.length - 1)
-    shard_of = size // SHARD
+    shard_of = np.cumsum(size[need]) // SHARD
     first_of_anchor = np.concatenate([[True], anchor[need][1:] != anchor[need][:-1]])
     lead = np.maximum.accumulate(np.where(first_of_anchor, np.arange(len(need)), 0))
-    length_of_anchor = np.bincount(lead, weights=n[need] + kind.length - 1, minlength=len(need))[lead]
+    length_of_anchor = np.bincount(lead, weights=size[need], minlength=len(need))[lead]
     shard_of = np.where(length_of_anchor <= SHARD, shard_of[lead], shard_of)
     bounds = np.flatnonzero(np.concatenate([[True], shard_of[1:] != shard_of[:-1], [True]]))
     shards = []
@@ -124,19 +126,22 @@ def match_bytes(kind, anchor: np.ndarray, body: np.ndarray, at: np.ndarray, n: n
         order, group, fragment, base, text = _shard(kind, body, at[f], n[f], doc[f], start[f])
         owner = f[fragment]
         offset = order - base[fragment]
-        by = np.lexsort((start[owner] + offset, doc[owner], group))
+        by = np.lexsort((start[owner] + offset, tag[owner], doc[owner], group))
         group, owner, offset, order = group[by], owner[by], offset[by], order[by]
         first = np.ones(len(group), bool)
         first[1:] = group[1:] != group[:-1]
-        whose = np.cumsum(first) - 1
+        # rows that repeat a doc_id are not earlier than each other
+        d, t = doc[owner], tag[owner]
+        least = d[np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))] if len(group) else d
+        first[1:] |= (d[1:] == least[1:]) & (t[1:] != t[:-1])
         later = ~first
         np.bitwise_or.at(mask, owner[later], np.uint64(1) << offset[later].astype(np.uint64))
-        shards.append({"lo": lo, "hi": hi, "anchors": (anchor[f[0]], anchor[f[-1]]), "first": np.flatnonzero(first), "owner": owner, "offset": offset, "order": order, "text": text, "whose": whose})
+        shards.append({"lo": lo, "hi": hi, "anchors": (anchor[f[0]], anchor[f[-1]]), "first": np.flatnonzero(first), "owner": owner, "offset": offset, "order": order, "text": text})
     # shards of one anchor: the first windows of each are searched in the sorted windows of the others
     for i, s in enumerate(shards):
         j = i + 1
         while j < len(shards) and shards[j]["anchors"][0] == s["anchors"][1]:
-            _merge(kind, s, shards[j], doc, start, mask)
+            _merge(kind, s, shards[j], doc, tag, start, mask)
             j += 1
             if shards[j - 1]["anchors"][1] != s["anchors"][1]:
                 break
@@ -151,18 +156,19 @@ def _strings(kind, s):
     return s["strings"]
 
 
-def _merge(kind, a, b, doc, start, mask):
+def _merge(kind, a, b, doc, tag, start, mask):
     """Binary search of one shard's distinct windows in another's; of equals the later is marked."""
     x, y = _strings(kind, a), _strings(kind, b)
     if not len(x) or not len(y):
         return
     order = np.argsort(x, kind="stable")
-    at = np.minimum(np.searchsorted(x[order], y), len(x) - 1)
-    hit = np.flatnonzero(x[order][at] == y)
-    p, q = a["first"][order[at[hit]]], b["first"][hit]
-    da, db = doc[a["owner"][p]], doc[b["owner"][q]]
-    sa, sb = start[a["owner"][p]] + a["offset"][p], start[b["owner"][q]] + b["offset"][q]
-    b_later = (db > da) | ((db == da) & (sb > sa))
-    np.bitwise_or.at(mask, b["owner"][q[b_later]], np.uint64(1) << b["offset"][q[b_later]].astype(np.uint64))
-    p = p[~b_later & ((db != da) | (sb != sa))]
-    np.bitwise_or.at(mask, a["owner"][p], np.uint64(1) << a["offset"][p].astype(np.uint64))
+    lo, hi = np.searchsorted(x[order], y, "left"), np.searchsorted(x[order], y, "right")
+    for k in range(int((hi - lo).max())):  # more than one only for rows that repeat a doc_id
+        hit = np.flatnonzero(lo + k < hi)
+        p, q = a["first"][order[lo[hit] + k]], b["first"][hit]
+        da, db, same = doc[a["owner"][p]], doc[b["owner"][q]], tag[a["owner"][p]] == tag[b["owner"][q]]
+        sa, sb = start[a["owner"][p]] + a["offset"][p], start[b["owner"][q]] + b["offset"][q]
+        q = q[(db > da) | ((db == da) & same & (sb > sa))]
+        np.bitwise_or.at(mask, b["owner"][q], np.uint64(1) << b["offset"][q].astype(np.uint64))
+        p = p[(da > db) | ((da == db) & same & (sa > sb))]
+        np.bitwise_or.at(mask, a["owner"][p], np.uint64(1) << a["offset"][p].astype(np.uint64))

@@ -11,15 +11,12 @@ from sessionloom.llm.dedup import substring_dedup, suffix_array_dedup
 
 
 def brute_words(rows, length):
-    words = {i: (t or "").encode().split() for i, t in rows}
-    first = {}
-    for i in sorted(words):
-        w = words[i]
+    first, out = {}, []
+    rows = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in sorted(rows):
         for k in range(len(w) - length + 1):
             first.setdefault(tuple(w[k : k + length]), i)
-    out = []
-    for i, _ in rows:
-        w = words[i]
+    for i, w in rows:
         gone = set()
         for k in range(len(w) - length + 1):
             if first[tuple(w[k : k + length])] < i:
@@ -30,14 +27,19 @@ def brute_words(rows, length):
 
 
 def brute_bytes(rows, length):
-    first, out = set(), []
-    for i, t in sorted(rows):
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
+    first, out = {}, []
+    rows = [(i, (t or "").encode()) for i, t in rows]
+    for i, b in rows:
         for k in range(len(b) - length + 1):
-            if b[k : k + length] in first:
+            w = b[k : k + length]
+            first[w] = min(i, first.get(w, i))
+    for i, b in rows:
+        gone, own = np.zeros(len(b), bool), set()
+        for k in range(len(b) - length + 1):
+            w = b[k : k + length]
+            if first[w] < i or w in own:
                 gone[k : k + length] = True
-            first.add(b[k : k + length])
+            own.add(w)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     return sorted(out)
@@ -88,6 +90,22 @@ def test_no_rows_and_repeated_rows(spark):
     assert suffix_array_dedup(spark, df.limit(0)).collect() == []
 
 
+def repeated_ids():
+    """doc_ids that several rows share: equal texts, unlike texts, a short one, texts that share passages, a long one."""
+    r = random.Random(9)
+    text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    a, b, c, d = text(120), text(100), text(90), text(80)
+    return [(1, a), (2, a), (2, b), (2, "few words"), (2, None), (3, b + " " + c), (3, d + " " + c), (3, c + " " + d + " " + c), (4, c + " " + a), (4, c + " " + a), (5, text(4000) + " " + d)]
+
+
+def test_rows_that_repeat_a_doc_id_with_another_text(spark):
+    rows = repeated_ids()
+    df = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, tag string, copy long").repartition(3)
+    words = sorted(tuple(x)[:4] for x in substring_dedup(spark, df).collect())
+    assert words == brute_words(rows, 50) and (2, 100, 0) in [x[:3] for x in words]
+    assert sorted(tuple(x)[:5] for x in suffix_array_dedup(spark, df).collect()) == brute_bytes(rows, 100)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_array(seed):
     r = np.random.default_rng(seed)
@@ -126,7 +144,18 @@ def test_shards_of_one_anchor_merge(monkeypatch):
         want.append(m)
     for shard in (1 << 20, 100, 30):
         monkeypatch.setattr(sa, "SHARD", shard)
-        assert sa.match_bytes(kind, anchor, body, at, n, doc, start).tolist() == want
+        assert sa.match_bytes(kind, anchor, body, at, n + 9, n, doc, np.zeros(len(frags), np.int64), start).tolist() == want
+    # three fragments in a row are of one doc_id: rows of their own
+    doc, tag, want = doc // 3, np.arange(len(frags)) + 1, []
+    where = {}
+    for f, i in zip(frags, doc.tolist()):
+        for k in range(11):
+            where[f[k : k + 10]] = min(i, where.get(f[k : k + 10], i))
+    for f, i in zip(frags, doc.tolist()):
+        want.append(sum((where[f[k : k + 10]] < i or f[k : k + 10] in [f[j : j + 10] for j in range(k)]) << k for k in range(11)))
+    for shard in (1 << 20, 100, 30):
+        monkeypatch.setattr(sa, "SHARD", shard)
+        assert sa.match_bytes(kind, anchor, body, at, n + 9, n, doc, tag, start).tolist() == want
 
 
 def test_automaton():
