@@ -101,6 +101,16 @@ def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, ["bucket", *columns])
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Small non-negative integers compressed: their bytes by place, so that the high ones cost nothing."""
+    return pa.compress(np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
 def pack_schema(*columns: str) -> str:
     return "bucket int, " + ", ".join(f"{c} binary" for c in columns)
 
