@@ -5,27 +5,33 @@ give, by binary search, the furthest turn that fits the budget beside the
 system turn and a limited repeated history.  Repeated turns are context only:
 the loss mask covers each assistant text once.
 
-A conversation of any length is worked on in stretches of ``STRETCH`` turns, with
-the system turn and the last turns before the stretch copied to it, so no task
-holds more than a stretch.
+A window does not cross a multiple of ``STRETCH`` turns.  So a conversation of any
+length is worked on in stretches, with the system turn and the last turns before the
+stretch copied to it, and no task holds more than a stretch.  Turns are numbered in
+their order, whatever numbers they bear: those of conversations longer than a stretch
+by partitions of a range, whose sizes are summed.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import groupby
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import exchange as ex
 
+#: Turns after which a window begins anew.
 STRETCH = 4096
+#: Bytes of a tokenizer's rank file at most: it is broadcast.
+RANK_BYTES = 64 << 20
 #: Tokens of a window; tokens and turns of history that it repeats.
 BUDGET, HISTORY, HISTORY_TURNS = 1024, 256, 4
 
@@ -72,18 +78,17 @@ class Template:
         return turns
 
 
-def counter(tokenizer: str | None):
-    """Tokens of a text by a tokenizer's rank file, else a token for four bytes."""
-    if tokenizer is None:
+def counter(ranks: bytes | None):
+    """Tokens of a text by the content of a tokenizer's rank file, else a token for four bytes."""
+    if ranks is None:
         return lambda text: -(-len(text.encode()) // 4)
     import base64
 
     import tiktoken
 
-    with open(tokenizer, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    encoding = tiktoken.Encoding(os.path.basename(tokenizer), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
 
@@ -129,7 +134,18 @@ def _rows(batches, names):
         yield from zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names))
 
 
-_counters: dict = {}
+_counters: list = []
+
+
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``n``, their number in their conversation from 0, without gathering a conversation."""
+    start = F.substring("text", 1, 64)  # a range of whole texts would send these to the driver
+    parts = ex.cut(rows.repartitionByRange("conv_id", "turn", "role", start).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("conv_id", "part").agg(F.count("*").alias("size"))
+    before = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("conv_id", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    mine = F.row_number().over(W.partitionBy("conv_id", "part").orderBy(*order))
+    return parts.withColumn("mine", mine).join(sizes, ["conv_id", "part"]).select("conv_id", *order, (F.col("before") + F.col("mine") - 1).alias("n"))
 
 
 def chat_windows(spark, conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS, tokenizer: str | None = None, template: Template = Template(), system_role: str = "system", target_role: str = "assistant") -> DataFrame:
@@ -139,8 +155,9 @@ def chat_windows(spark, conversations: DataFrame, budget: int = BUDGET, history:
     ``n_new`` ones: the system turn and history.  ``loss`` gives spans of code
     points of ``text``: the escaped texts of new turns of ``target_role``.  A window
     stays within ``budget`` tokens unless a single turn (beside the system turn) is
-    larger.  ``tokenizer`` is the path of a rank file; without one, four bytes
-    count as a token.
+    larger, and does not cross a multiple of ``STRETCH`` turns.  ``tokenizer`` is the
+    path of a rank file, which the driver reads; without one, four bytes count as a
+    token.
 
     Turns are ordered by turn (null first), then role, then text; null roles and
     texts count as empty; repeated rows are turns.  Rows with a null conv_id are
@@ -149,21 +166,31 @@ def chat_windows(spark, conversations: DataFrame, budget: int = BUDGET, history:
     """
     ex.prepare(spark)
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("stretch", F.floor(F.greatest(F.col("turn"), F.lit(0)) / STRETCH))
-    rows = rows.select("*", F.lit(2).alias("kind"))
-    next_ = rows.where(F.pmod("turn", F.lit(STRETCH)) >= STRETCH - history_turns).where("turn >= 0").withColumn("stretch", F.col("stretch") + 1).withColumn("kind", F.lit(1))
-    later = rows.where("stretch > 0").select("conv_id", "stretch").distinct()
-    heads = rows.where((F.col("stretch") == 0) & (F.col("role") == system_role)).groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("h")).join(rows.where("stretch = 0").groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("f")), "conv_id").where("h = f")
-    heads = heads.join(later, "conv_id").select("conv_id", "h.turn", "h.role", "h.text", "stretch", F.lit(0).alias("kind"))
-    every = rows.unionByName(next_.join(later, ["conv_id", "stretch"], "left_semi").select(*rows.columns)).unionByName(heads.select(*rows.columns))
+    order = ["turn", "role", "text"]
+    long = ex.cut(rows.groupBy("conv_id").agg(F.count("*").alias("turns")).where(F.col("turns") > STRETCH))
+    short = rows.withColumn("stretch", F.lit(0).cast("long")).withColumn("kind", F.lit(2))
+    every, n_long = short, long.count()
+    if n_long:
+        few = F.broadcast(long) if n_long <= ex.BROADCAST_ROWS else long
+        many = ex.cut(_numbered(rows.join(few.select("conv_id"), "conv_id", "left_semi"), order)).join(few, "conv_id")
+        last = F.floor((F.col("turns") - 1) / STRETCH)
+        many = many.withColumn("stretch", F.floor(F.col("n") / STRETCH)).withColumn("kind", F.lit(2))
+        again = many.where((F.pmod("n", F.lit(STRETCH)) >= STRETCH - history_turns) & (F.col("stretch") < last)).withColumn("stretch", F.col("stretch") + 1).withColumn("kind", F.lit(1))
+        heads = many.where((F.col("n") == 0) & (F.col("role") == system_role)).withColumn("stretch", F.explode(F.sequence(F.lit(1).cast("long"), last))).withColumn("kind", F.lit(0))
+        every = ex.anti(short, long.select("conv_id"), "conv_id", n_long)
+        for part in (many, again, heads):
+            every = every.unionByName(part.select(*every.columns))
+    if tokenizer is not None and Path(tokenizer).stat().st_size > RANK_BYTES:
+        raise ValueError(f"{tokenizer} is too large to be broadcast")
+    ranks = spark.sparkContext.broadcast(None if tokenizer is None else Path(tokenizer).read_bytes())
 
     def run(batches):
-        if tokenizer not in _counters:
-            _counters[tokenizer] = counter(tokenizer)
+        if not _counters or _counters[0] != ranks.value:
+            _counters[:] = [ranks.value, counter(ranks.value)]
         held = []
         for (conv, stretch), g in groupby(_rows(batches, ["conv_id", "stretch", "kind", "role", "text"]), key=lambda r: r[:2]):
             turns = [r[2:] for r in g]
-            for w, x in enumerate(windows(turns, _counters[tokenizer], template, budget, history, history_turns, system_role, target_role)):
+            for w, x in enumerate(windows(turns, _counters[1], template, budget, history, history_turns, system_role, target_role)):
                 held.append({"conv_id": conv, "stretch": stretch, "window": w, **x, "loss": [{"begin": a, "end": b} for a, b in x["loss"]]})
             if len(held) >= 500:
                 yield pa.RecordBatch.from_pylist(held, _OUT)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .quality import quality_sql
 
-#: The rank file that counts chat tokens, where there is one.
+#: The rank file that counts chat tokens; the query fails where it is missing, as its windows would differ.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -46,7 +45,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     hard = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
-    return read_back(chat_windows(spark, rows, tokenizer=TOKENIZER if os.path.exists(TOKENIZER) else None))
+    return read_back(chat_windows(spark, rows, tokenizer=TOKENIZER))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,30 @@ def test_escape_is_reversible_and_leaves_no_control():
 def test_tokenizer_and_no_rows(spark):
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     if os.path.exists(path):
-        assert chat.counter(path)("the cat sat on the mat") == 6
+        assert chat.counter(open(path, "rb").read())("the cat sat on the mat") == 6
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.chat_windows(spark, df)).collect() == []
+
+
+def test_windows_do_not_depend_on_the_numbers_of_turns(spark, monkeypatch, tmp_path):
+    """Dense, sparse and huge numbers, and null ones, by role and text; several stretches and partitions."""
+    monkeypatch.setattr(chat, "STRETCH", 8)
+    base = [(t, "system" if t == 0 else ["user", "assistant"][t % 2], f"text {t:03} " * (1 + t % 4)) for t in range(45)]
+    made = {}
+    for name, number in (("dense", lambda t: t), ("sparse", lambda t: 60_000 * t), ("huge", lambda t: (1 << 60) + 977 * t)):
+        df = spark.createDataFrame([(c, number(t), role, text) for c in (1, 2) for t, role, text in base] + [(3, 5, "user", "alone")], "conv_id long, turn long, role string, text string").repartition(5)
+        made[name] = sorted(tuple(x) for x in chat.chat_windows(spark, df, budget=60, history=15).collect())
+    assert made["dense"] == made["sparse"] == made["huge"]
+    assert len({x[1] for x in made["dense"] if x[0] == 1}) == 6 and any(x[4] for x in made["dense"])
+    for name, number in (("one number", 7), ("no number", None)):
+        rows = [(1, number, role, text) for _, role, text in base] * 2
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+        windows = chat.chat_windows(spark, df, budget=60, history=15)
+        assert max(x.n_new for x in windows.collect()) <= 8
+        assert [(x.n_turns, x.turns_sha256) for x in chat.read_back(windows).collect()] == [brute(rows)[1][:2]], name
+
+
+def test_a_missing_tokenizer_is_an_error(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(FileNotFoundError):
+        chat.chat_windows(spark, df, tokenizer="/nowhere/ranks")
