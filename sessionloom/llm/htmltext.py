@@ -22,14 +22,18 @@ from . import exchange as ex
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|title|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<raw>script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
 _CLASS = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that a block's start tag ends, as their content is no block.
+FOREIGN = frozenset("svg math select".split())
+#: Elements of a block's text or of their own kind, which do not end those.
+WITHIN = INLINE | frozenset("option optgroup hr svg g path rect circle line polyline polygon ellipse text tspan defs use symbol desc foreignobject lineargradient radialgradient stop clippath mask filter pattern image style script".split())
 #: Elements that a start tag of the key closes when they are open inside the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("html body div section article main aside header footer nav form table ul ol dl td th li dd blockquote figure".split())
@@ -107,8 +111,12 @@ def blocks(page: str | None) -> list[Block]:
                 if inline and stack[i][0] not in INLINE:
                     break
             continue
-        if m["attrs"].endswith("/") and inline:
+        foreign = next((i for i, (name, _) in enumerate(stack) if name in FOREIGN), None)
+        if m["attrs"].endswith("/") and (inline or tag in FOREIGN or foreign is not None):
             continue
+        if foreign is not None and tag not in WITHIN and not any(name == "foreignobject" for name, _ in stack[foreign:]):
+            flush()
+            pop_to(foreign)
         if not inline:
             gone = CLOSES.get(tag, set()) | {"p"} | ({"h1", "h2", "h3", "h4", "h5", "h6"} if tag[0] == "h" and tag[1:].isdigit() else set())
             for i in range(len(stack) - 1, -1, -1):
@@ -141,6 +149,9 @@ def _ancestor_features(ancestors: tuple) -> tuple[str, ...]:
                 if n.startswith(cue):
                     found["s:" + cue] = 1
     parents = [t for t, _ in ancestors if t not in INLINE]
+    if not any(names for _, names in ancestors):
+        found["plain"] = 1
+        found["plain:" + (parents[-2] if len(parents) > 1 else "")] = 1
     found["p:" + (parents[-1] if parents else "")] = 1
     found["pp:" + ">".join(parents[-2:])] = 1
     return tuple(found)

@@ -46,7 +46,7 @@ class Site:
 
     def box(self, tags: tuple[str, ...], names: tuple[str, ...], inner: str) -> str:
         tag = self.r.choice(tags)
-        name = self.name(*names) if tag == "div" or self.r.random() < 0.5 else ""
+        name = self.name(*names) if tag in ("div", "section") or self.r.random() < 0.5 else ""
         return f"<{tag}{name}>{inner}</{tag}>"
 
     def sentence(self, a: int, b: int) -> str:
@@ -69,6 +69,12 @@ class Site:
             return self.box(("div", "section", "aside"), ("cookie", "notice", "consent", "gdpr", "alert", "popup", "newsletter", "subscribe"), p(5, 45) + (f"<button>{self.text(self.words(1, 2), False)}</button>" if r.random() < 0.5 else ""))
         if kind == "form":
             return f"<form{self.name('search', 'login', 'signup', 'contact', 'subscribe')}>" + "".join(f"<label>{self.text(self.words(1, 4), False)}</label><input name=x><p>{self.sentence(2, 25)}</p>" for _ in range(r.randint(1, 3))) + f"<button>{self.text(self.words(1, 2), False)}</button></form>"
+        if kind == "script":
+            return f"<noscript>{p(3, 25)}</noscript>"
+        if kind == "choice":
+            return f"<select name=x>" + "".join(f"<option>{self.text(self.words(1, 3), False)}" for _ in range(r.randint(1, 6))) + r.choice(["</select>", "</select>", ""])
+        if kind == "icon":
+            return f"<div{self.name('icon', 'logo', 'button')}><svg><title>{self.text(self.words(1, 3), False)}</title><text>{self.text(self.words(1, 3), False)}</text>" + r.choice(["<path d='M0'/></svg>", "<path d='M0'>", ""]) + "</div>"
         if kind == "share":
             return self.box(("div", "ul"), ("share", "social", "tags", "toolbar"), self.links(r.randint(2, 5), (1, 2)))
         if kind == "comments":
@@ -101,8 +107,11 @@ class Site:
                 out.append(f"<pre>{self.text(self.words(4, 30), True)}</pre>")
             else:
                 out.append("<table><tr>" + "".join(f"<td>{self.text(self.words(1, 6), True)}</td>" for _ in range(3)) + "</tr></table>")
+            if r.random() < 0.06:  # what stands for an embedded thing
+                tag = r.choice(["object", "video", "audio", "canvas", "noscript"])
+                out.append(f"<{tag}><p>{self.text(self.words(3, 30, '.'), True)}</p></{tag}>")
             if r.random() < 0.05:
-                out.append(self.surrounding(r.choice(["ad", "share", "side", "notice", "form"])))
+                out.append(self.surrounding(r.choice(["ad", "share", "side", "notice", "form", "choice", "icon"])))
         body = "".join(out)
         how = r.random()
         if how < 0.45:
@@ -113,11 +122,29 @@ class Site:
             return f"<main>{body}</main>"
         return f"<div>{body}</div>"
 
+    def bare(self) -> str:
+        """A page of text with no or few names: in the body itself, in a plain element, or beside one or two parts."""
+        r = self.r
+        body = "".join(f"<p>{self.text(self.words(*r.choice([(8, 30), (30, 120)]), '.'), True)}{r.choice(['</p>', '</p>', ''])}" for _ in range(r.choice([1, 1, 2, 4, 9])))
+        if r.random() < 0.4:
+            body = f"<h1>{self.text(self.words(1, 9), True)}</h1>" + body
+        if r.random() < 0.15:
+            body = self.text(self.words(20, 90, "."), True)
+        for tag in r.choice([(), (), ("div",), ("div",), ("div", "div"), ("section",), ("section",), ("main",), ("table", "tr", "td"), ("center",)]):
+            body = f"<{tag}>{body}</{tag}>"
+        if r.random() < 0.4:
+            body = self.surrounding(r.choice(["nav", "header", "crumbs", "form", "script", "choice", "icon"])) + body
+        if r.random() < 0.4:
+            body += self.surrounding(r.choice(["footer", "footer", "comments", "share", "nav"]))
+        return r.choice(["", "<html><body>", "<!DOCTYPE html><html><head><title>x</title></head><body>"]) + body
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.2:
+            return self.bare()
         some = lambda kinds, k: [self.surrounding(r.choice(kinds)) for _ in range(k)]
-        before = some(["nav", "header", "crumbs", "ad", "notice", "form", "side", "nav"], r.randint(1, 5))
-        after = some(["comments", "side", "share", "ad", "form", "notice", "nav"], r.randint(0, 4)) + ([self.surrounding("footer")] if r.random() < 0.9 else [])
+        before = some(["nav", "header", "crumbs", "ad", "notice", "form", "side", "nav", "script", "icon"], r.randint(1, 5))
+        after = some(["comments", "side", "share", "ad", "form", "notice", "nav", "choice"], r.randint(0, 4)) + ([self.surrounding("footer")] if r.random() < 0.9 else [])
         inside = before + [self.article()] + after
         if r.random() < 0.3:
             inside = ["<div" + self.name("wrapper", "container", "page") + ">", *inside, "</div>"]

@@ -9,10 +9,36 @@ def test_blocks_of_broken_markup():
     <ul><li>a<li><a href="x>y">b</a></ul><img alt="<p>">six</div></p>sev<b>en</b> & &lt;p&gt;<style>q</style>nine<p"""
     assert [b.text for b in ht.blocks(page)] == ["one t&wo three", "four five", "a", "b", "six", "seven & <p>", "nine"]
     assert ht.blocks(None) == ht.blocks("") == ht.blocks(" <b> </b>") == []
-    assert [b.text for b in ht.blocks("<a" * 3000)] != None  # noqa: E711
+    assert [b.text for b in ht.blocks("<a" * 3000)] == ["<a" * 2999]
     assert ht.blocks("x" * 300_000 + "<p>y")[1].text == "y"
 
 
+CLOSING = "The closing paragraph of it, with words."
+OPENING = "<h1>Title here</h1><p>First words of the article, which go on.</p>"
+
+
+@pytest.mark.parametrize(
+    "broken",
+    ["<svg><path d='M0'>", "<div><svg><title>icon</title></div>", "<select><option>a<option>b", "<form><select><option>a</form>", "<div><object data=x></div>", "<object data=x>", "<div><video src=y></div>", "<p>"],
+)
+def test_an_element_that_is_not_closed_does_not_swallow_the_article(broken):
+    page = f"<body><nav><a href=/>Home</a></nav><article>{OPENING}{broken}<p>{CLOSING}</p></article><footer>&copy; x</footer>"
+    assert ht.main_text(page, ht.default_model()) == f"Title here First words of the article, which go on. {CLOSING}"
+
+
+def test_formulas_and_embedded_things_are_read():
+    page = "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here.</p></article>"
+    assert ht.main_text(page, ht.default_model()) == "Energy is E=mc2 here."
+    for tag in ("noscript", "video", "object", "canvas"):
+        assert [b.text for b in ht.blocks(f"<p>a</p><{tag}><p>b</p></{tag}>c")] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("page", ["<body><div><p>{}</p></div></body>", "<p>{}", "<html><body><section><p>{}</section>", "<table><tr><td><p>{}</table>", "<nav><ul><li><a href=/>Home</a></ul></nav><div><p>{}</p></div>"])
+def test_pages_without_an_article_element_give_their_text(page):
+    text = "This is a long paragraph of text that says something, at length, about energy and work."
+    assert ht.main_text(page.format(text), ht.default_model()) == text
+
+
 def test_held_out_accuracy():
     model = ht.default_model()
     right = total = exact = 0
@@ -24,7 +50,7 @@ def test_held_out_accuracy():
         right += sum(a == b for a, b in zip(want, got))
         total += len(want)
         exact += want == got
-    assert right >= 0.98 * total and exact >= 0.75 * len(pages)
+    assert right >= 0.98 * total and exact >= 0.8 * len(pages)
 
 
 def test_viterbi_is_the_best_of_all_labellings():
