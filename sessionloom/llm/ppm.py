@@ -209,11 +209,20 @@ def _logarithms(seen: DataFrame, order: int, unseen: DataFrame) -> DataFrame:
     return known.unionByName(wide.select("value", F.lit(0).cast("long").alias("n"), w.alias("w")))
 
 
-def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = table.toPandas()
-    v = rows["value"].to_numpy(np.int64).view(np.uint64)
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Values, sorted, and the column beside them, sent to the driver packed."""
+
+    def packed(batches):
+        for b in batches:
+            yield ex.batch({"v": pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), "w": pa.array([b.column(1).to_numpy().tobytes()], pa.binary())})
+
+    values, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.float64)]
+    for r in table.mapInArrow(packed, "v binary, w binary").toLocalIterator():
+        values.append(np.frombuffer(r.v, np.uint64))
+        weights.append(np.frombuffer(r.w, np.float64))
+    v = np.concatenate(values)
     order = np.argsort(v)
-    return v[order], rows["n"].to_numpy(np.int64)[order], rows["w"].to_numpy(np.float64)[order]
+    return v[order], np.concatenate(weights)[order]
 
 
 _built: list = []
@@ -449,11 +458,11 @@ def ppm_scores(spark, docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_
     below = n_train + 0.1 * (vocabulary + 1)
     context_floor, word_floor = _floor(totals, 0, max_nodes), _floor(totals, 1, max_words)
     weighed = ex.cut(_logarithms(_unpacked(totals, 0, 1), order, _unpacked(totals, 0, 0, 1)))
-    codes_, _, logs = _sorted(weighed.where(F.col("n") >= context_floor))
-    words, counts, _ = _sorted(_unpacked(totals, 1, word_floor).withColumn("w", F.lit(0.0)))
+    codes_, logs = _sorted(weighed.where(F.col("n") >= context_floor).select("value", "w"))
+    words, counts = _sorted(_unpacked(totals, 1, word_floor).select("value", F.col("n").cast("double")))
     if n_train and (not len(words) or words[0] != 0):  # the end token is always known
-        words, counts = np.concatenate([np.zeros(1, np.uint64), words]), np.concatenate([np.array([docs.where(~held).count()]), counts])
-    model = spark.sparkContext.broadcast((codes_, logs, words, counts.astype(np.float64)))
+        words, counts = np.concatenate([np.zeros(1, np.uint64), words]), np.concatenate([np.array([float(docs.where(~held).count())]), counts])
+    model = spark.sparkContext.broadcast((codes_, logs, words, counts))
     part, unknown = _parts(order, model, n_train, vocabulary)
     if vocabulary <= len(words) and not context_floor:
         scored = docs.mapInArrow(_scores(part, unknown), SCORES)
