@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Each
-step is one grouped minimum and one join-free emission, so no adjacency list is
-ever gathered, and the number of rounds grows with the logarithm of the size.
+step is one grouped minimum, combined where the edges are, and its join with the
+edges, which splits a hub's where they are many; no adjacency list is ever gathered,
+and the number of rounds grows with the logarithm of the size.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .exchange import batch, cut
 
@@ -57,11 +57,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node is tied to the node's least neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.col("u"), F.min("v").over(W.partitionBy("u")))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours are tied to the least of them
-        w = W.partitionBy("u")
-        mins = large.select("u", "v", F.min("v").over(w).alias("m"))
+        mins = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = mins.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         new = cut(small)
         stars = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()

@@ -30,9 +30,17 @@ BUCKET_BYTES = 4 << 20
 BROADCAST_ROWS = 1_000_000
 
 
-def prepare(spark: SparkSession) -> None:
-    """What a query needs of its session: code for the workers, bounds for their memory, a checkpoint folder."""
+def prepare(spark: SparkSession, size: int = 0) -> None:
+    """What a query needs of its session: code for the workers, bounds for their memory, a checkpoint folder.
+
+    With the size of the input, shuffles begin with a partition for each bucket's
+    bytes of it, which adaptive execution then joins.
+    """
     _ship(spark)
+    start = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    want = min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
+    if int(spark.conf.get(start, None) or 0) < want:
+        spark.conf.set(start, str(want))
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")):
         try:
             if spark.conf.get(key) in (None, "10000", "-1", str(2**63 - 1), "256MB", str(256 << 20), str(64 << 20)):

@@ -11,7 +11,9 @@ The sets are the distinct word n-grams of the texts.
    sets (at most ``x`` elements) enumerate the subsets of the fixed size that a
    linked light partner must share; *heavy* sets enter their rarest elements
    (those of which a partner must have one) in inverted lists, which are scanned.
-   ``x`` is where enumeration starts to cost more than the lists.
+   ``x`` is chosen by cost: how many sets of each size there are and how long the
+   lists of their elements are is measured first.  A long list is scanned in blocks,
+   of which each two meet in a group of their own.
 3. Each candidate pair is verified once, on whole sets that travel to a block of
    classes and not to each pair.
 
@@ -36,8 +38,12 @@ from .components import connected_components
 
 #: Largest set for which subsets may be enumerated.
 LIGHT_MAX = 12
-#: Classes of a block; the sets of two blocks meet in a verification task.
-BLOCK = 256
+#: Classes of a block, and elements of their sets; the sets of two blocks meet in a verification task.
+BLOCK, BLOCK_ELEMENTS = 256, 1 << 20
+#: Entries of an inverted list that are scanned together; a longer list is split.
+LIST = 4000
+#: What a scanned pair costs beside an entry that is sent to a list.
+PAIR = 0.1
 
 
 def need(percent: int, size):
@@ -258,7 +264,7 @@ def _frequencies(bits: int):
     return run
 
 
-INDEX = "doc_id long, n long, elements binary, keys array<long>"
+INDEX = "doc_id long, n long, elements binary, keys array<long>, pairs double"
 
 
 def _subset_keys(values: np.ndarray, sizes: range, n: int, percent: int) -> list[int]:
@@ -271,8 +277,8 @@ def _subset_keys(values: np.ndarray, sizes: range, n: int, percent: int) -> list
     return keys
 
 
-def _index(percent: int, light: int):
-    """Step 2, at the bucket of a text: its elements, and the keys of the lists it enters."""
+def _index(percent: int):
+    """Step 2, at the bucket of a text: its elements, the rarest of them, and how many pairs their lists make for it."""
 
     def run(batches):
         kinds, rows = [], []
@@ -287,26 +293,22 @@ def _index(percent: int, light: int):
         sizes = x["df"][size_entry][first]
         v, d, df = (x[k][~size_entry] for k in ("value", "doc", "df"))
         order = np.lexsort((v, df, d))
-        v, d = v[order], d[order]
+        v, d, df = v[order], d[order], df[order] & np.int64((1 << 40) - 1)
         keep = np.ones(len(v), bool)  # a repeated row of the input counts once
         keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-        v, d = v[keep], d[keep]
+        v, d, df = v[keep], d[keep], df[keep]
         lo, hi = np.searchsorted(d, ids, "left"), np.searchsorted(d, ids, "right")
-        out = {"doc_id": [], "n": [], "elements": [], "keys": []}
+        out = {"doc_id": [], "n": [], "elements": [], "keys": [], "pairs": []}
         for doc, n, a, b in zip(ids.tolist(), sizes.tolist(), lo, hi):
             prefix = n - need(percent, n) + 1 - (n - (b - a))
             if prefix <= 0:
                 continue
-            own, top = v[a:b], n * 100 // percent
-            keys = []
-            if n <= light:
-                keys = _subset_keys(np.sort(own), range(need(percent, n), min(top, light) + 1), n, percent)
-            if top > light:
-                keys += own[:prefix].view(np.int64).tolist()
+            own = v[a:b]
             out["doc_id"].append(doc)
             out["n"].append(n)
             out["elements"].append(np.sort(own).tobytes())
-            out["keys"].append(keys)
+            out["keys"].append(own[:prefix].view(np.int64).tolist())
+            out["pairs"].append(float(df[a : a + prefix].sum()) / 2)
             if len(out["n"]) >= 2000:
                 yield pa.RecordBatch.from_pydict(out, _INDEX)
                 out = {k: [] for k in out}
@@ -315,19 +317,40 @@ def _index(percent: int, light: int):
     return run
 
 
-_INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("elements", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("elements", pa.binary()), ("keys", pa.list_(pa.int64())), ("pairs", pa.float64())])
+
+
+LISTED = "key long, doc_id long, n long"
+
+
+def _keys(percent: int, light: int):
+    """The lists that each set enters: of its subsets if it is light, of its rarest elements if a partner can be heavy."""
+
+    def run(batches):
+        for b in batches:
+            keys, at = [], []
+            for i, (n, elements, rare) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
+                top = n * 100 // percent
+                mine = _subset_keys(np.frombuffer(elements, np.uint64), range(need(percent, n), min(top, light) + 1), n, percent) if n <= light else []
+                mine = mine + rare if top > light else mine
+                keys += mine
+                at += [i] * len(mine)
+            at = np.array(at, np.int64)
+            yield ex.batch({"key": np.array(keys, np.int64), "doc_id": b.column(0).to_numpy()[at], "n": b.column(1).to_numpy()[at]})
+
+    return run
 
 
 def _candidates(percent: int):
-    """Pairs of one list whose sizes allow a link, each once a partition."""
+    """Pairs of one list whose sizes allow a link, each once a partition; of two blocks of a list, pairs across them."""
 
     def run(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        parts = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
         if not parts:
             return
-        key, doc, n = (np.concatenate(x) for x in zip(*parts))
+        key, doc, n, side = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((doc, n, key))
-        key, doc, n = key[order], doc[order], n[order]
+        key, doc, n, side = key[order], doc[order], n[order], side[order]
         ids, code = np.unique(doc, return_inverse=True)
         code = code.astype(np.uint64)
         found, held = [], 0
@@ -341,7 +364,7 @@ def _candidates(percent: int):
             other = alive + step
             a, b = code[alive], code[other]
             pair = np.minimum(a, b) * np.uint64(len(ids)) + np.maximum(a, b)
-            found.append(pair[a != b])
+            found.append(pair[(a != b) & ((side[alive] < 0) | (side[alive] != side[other]))])
             held += len(alive)
             step += 1
             if held > 2_000_000:
@@ -413,22 +436,43 @@ def _verify(percent: int):
     return run
 
 
-def _light_bound(percent: int, mean_list: float) -> int:
-    """The largest size up to which subsets cost no more than scanning lists."""
-    x = 0
-    for s in range(1, LIGHT_MAX + 1):
-        subsets = sum(comb(s, overlap(percent, s, t)) for t in range(need(percent, s), s * 100 // percent + 1) if overlap(percent, s, t) <= s)
-        if subsets > (s - need(percent, s) + 1) * max(1.0, mean_list):
-            break
-        x = s
-    return x
+def light_bound(percent: int, sizes: dict[int, tuple[int, float]]) -> int:
+    """The largest light size at which the join costs least; ``sizes``: size -> (sets, pairs that their lists make)."""
+
+    def cost(x: int) -> float:
+        total = 0.0
+        for s, (count, pairs) in sizes.items():
+            top = s * 100 // percent
+            if s <= x:
+                total += count * sum(comb(s, c) for c in {overlap(percent, s, t) for t in range(need(percent, s), min(top, x) + 1)} if c <= s)
+            if top > x:
+                total += count * (s - need(percent, s) + 1) + PAIR * pairs
+        return total
+
+    return min(range(LIGHT_MAX + 1), key=lambda x: (cost(x), x))
+
+
+def _listed(keys: DataFrame) -> DataFrame:
+    """(key, doc_id, n, side) of the groups to scan: lists, or each two blocks of a long list."""
+    longs = ex.cut(keys.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > LIST).select("key", F.ceil(F.col("entries") / (LIST // 2)).alias("blocks")))
+    n_long = longs.count()
+    whole = F.lit(-1).cast("int").alias("side")
+    if not n_long:
+        return keys.select("key", "doc_id", "n", whole)
+    mine = keys.join(F.broadcast(longs) if n_long <= ex.BROADCAST_ROWS else longs, "key", "left")
+    short = mine.where("blocks is null").select("key", "doc_id", "n", whole)
+    cut = mine.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"), F.lit("block"))
+    side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return short.unionByName(cut.select(group.alias("key"), "doc_id", "n", side.alias("side")))
 
 
 def class_links(spark, docs: DataFrame, percent: int = 70, width: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links): one row per text, per class of equal sets, per pair of linked classes."""
-    ex.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     size = ex.input_bytes(docs)
+    ex.prepare(spark, size)
     bits = ex.bucket_bits(size)
     hot_df = max(1000, 2 * size // 1_000_000)
     seen = ex.by_bucket(docs.mapInArrow(_scan(width, bits), SCAN), bits).mapInArrow(_credit(hot_df), CREDIT)
@@ -444,16 +488,18 @@ def class_links(spark, docs: DataFrame, percent: int = 70, width: int = 3) -> tu
     classes = ex.cut(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("shared").alias("shared")))
     left = classes.where(F.col("shared") * 100 >= F.col("n") * percent)
     stats = left.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
-    light = _light_bound(percent, 2.0)  # lists taken as short as they can be: subsets only where they surely cost less
     post = ex.semi(docs, left.select(F.col("rep").alias("doc_id")), "doc_id", stats["rows"]).mapInArrow(_postings(width, bits, packed), POSTINGS)
-    index = ex.by_bucket(ex.by_bucket(post, bits).mapInArrow(_frequencies(bits), POSTINGS), bits).mapInArrow(_index(percent, light), INDEX)
+    index = ex.by_bucket(ex.by_bucket(post, bits).mapInArrow(_frequencies(bits), POSTINGS), bits).mapInArrow(_index(percent), INDEX)
     index = ex.cut(index)
     lists = max(1, int((stats["n"] or 0) // 2_500_000) + 1)
-    pairs = index.select(F.explode("keys").alias("key"), "doc_id", "n").repartition(lists, "key").mapInArrow(_candidates(percent), "a long, b long").distinct()
+    sizes = index.where(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.count("*").alias("sets"), F.sum("pairs").alias("pairs")).collect()
+    light = light_bound(percent, {r.n: (r.sets, r.pairs) for r in sizes})
+    keys = index.mapInArrow(_keys(percent, light), LISTED)
+    pairs = _listed(keys).repartition(lists, "key").mapInArrow(_candidates(percent), "a long, b long").distinct()
     pairs = ex.cut(pairs)
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), "a"), F.struct(F.col("b").alias("doc"), "a"))).alias("x")).select("x.*")
-    label = ends.groupBy("doc").agg(F.min("a").alias("c"))
-    blocks = label.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    label = ends.groupBy("doc").agg(F.min("a").alias("c")).join(index.select(F.col("doc_id").alias("doc"), "n"), "doc")
+    blocks = label.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"))
     label = label.join(blocks, "c").select("doc", F.xxhash64("c", F.pmod(F.xxhash64("doc"), "blocks")).alias("block"))
     at = pairs.join(label.select(F.col("doc").alias("a"), F.col("block").alias("x")), "a").join(label.select(F.col("doc").alias("b"), F.col("block").alias("y")), "b")
     at = at.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("g"))

@@ -61,3 +61,30 @@ def test_a_task_run_again_sends_its_rows_to_the_same_buckets():
     assert first == again
     held = [x for r in first for x in np.frombuffer(r["info"], np.int64).reshape(-1, 5)[:, 0].tolist()]
     assert sorted(held) == list(range(50))
+
+
+@pytest.mark.parametrize("kind", ["many short texts in long lists", "long texts in short lists", "long lists in blocks"])
+def test_boundary_follows_the_data(spark, monkeypatch, kind):
+    chosen = []
+    bound = jaccard.light_bound
+    monkeypatch.setattr(jaccard, "light_bound", lambda percent, sizes: chosen.append(bound(percent, sizes)) or chosen[-1])
+    r = random.Random(4)
+    if kind.startswith("long texts"):
+        rows = [(i, " ".join(f"u{i // 2}x{k}" for k in range(40)) + (" end" if i % 2 else "")) for i in range(60)]
+    else:
+        rows = [(i, " ".join(r.choice("abc") for _ in range(r.choice([6, 7, 8])))) for i in range(300)]
+    if kind.startswith("long lists"):
+        monkeypatch.setattr(jaccard, "LIST", 20)
+        monkeypatch.setattr(jaccard, "LIGHT_MAX", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(x)[:4] for x in ngram_jaccard(spark, df).collect()) == brute(rows)
+    assert chosen[0] > 3 if kind.startswith("many") else chosen[0] == 0
+
+
+def test_components_of_a_hub_a_chain_and_loops(spark):
+    from sessionloom.llm.components import connected_components
+
+    edges = [(1000, k) for k in range(1, 300)] + [(k, k + 1) for k in range(2000, 2050)] + [(5000, 5000), (1, 2), (None, 3)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    want = {k: 1 for k in [*range(1, 300), 1000]} | {k: 2000 for k in range(2000, 2051)} | {5000: 5000}
+    assert got == want
