@@ -113,10 +113,10 @@ def _gather(order: int, bits: int):
             if train.any():
                 held[1].append((np.append(h, np.uint64(0)), np.append(n, int(train.sum()))))
             for kind in (0, 1):
-                if sum(len(p[0]) for p in held[kind]) > ex.FLUSH * 2:
+                if sum(len(p[0]) for p in held[kind]) > ex.FLUSH:
                     merged = _count(np.concatenate([p[0] for p in held[kind]]), np.concatenate([p[1] for p in held[kind]]))
                     held[kind] = [merged]
-                    if len(merged[0]) > ex.FLUSH:
+                    if len(merged[0]) > ex.FLUSH // 2:
                         yield rows(kind, held[kind])
                         held[kind] = []
         for kind in (0, 1):
@@ -336,7 +336,7 @@ def _send(part, bits: int):
                     mine = first[text] >= 0
                     held[kind].append((value[mine], first[text[mine]], docs))
                     size[kind] += int(mine.sum())
-                    if size[kind] >= ex.FLUSH:
+                    if size[kind] >= ex.FLUSH // 2:
                         yield flush(kind, held[kind])
                         held[kind], size[kind] = [], 0
         for kind in (0, 1):
