@@ -29,17 +29,42 @@ def week_context(bars: DataFrame, weeks: int = 4) -> DataFrame:
     return A.move_context(w, weeks)
 
 
-def gauges(bars: DataFrame, calendar: DataFrame, lookback: int = 1260) -> DataFrame:
-    """gauge, last, pct: breadth figures of the last session and where they stand in the last years."""
-    b = X.breadth(bars, calendar)
-    long = b.select("date", F.explode(F.array(*(F.struct(F.lit(c).alias("symbol"), F.col(c).cast("double").alias("v")) for c in ("pct_above_20", "pct_above_50", "pct_above_200", "net_highs")))).alias("x")).select("date", "x.*")
+def _gauges(frame: DataFrame, columns: dict[str, str], lookback: int) -> DataFrame:
+    """gauge, last, pct of columns of a frame with a row for each date."""
+    long = frame.select("date", F.explode(F.array(*(F.struct(F.lit(g).alias("symbol"), F.col(c).cast("double").alias("v")) for g, c in columns.items()))).alias("x")).select("date", "x.*")
     return stats.percentile_of_last(long, "v", lookback).withColumnRenamed("symbol", "gauge")
 
 
-def scoreboard(bars: DataFrame, calendar: DataFrame, sessions: int = 5) -> DataFrame:
-    """date, volume_highs and their sum over the last sessions."""
-    n = X.counts_through_time(X.volume_masks(bars), calendar, "year_high").withColumn("symbol", F.lit("all"))
-    return n.select("date", F.col("n").alias("volume_highs"), S.rolling(F.sum, "n", sessions).alias("week"))
+def breadth_gauges(bars: DataFrame, calendar: DataFrame, lookback: int = 1260) -> DataFrame:
+    """gauge, last, pct: breadth figures of the last session and where they stand in the last years."""
+    return _gauges(X.breadth(bars, calendar), {c: c for c in ("pct_above_20", "pct_above_50", "pct_above_200", "net_highs")}, lookback)
+
+
+def risk_gauges(bars: DataFrame, benchmark: str, calendar: DataFrame | None = None, lookback: int = 1260) -> DataFrame:
+    """gauge, last, pct, r5, r10, r63 of four measures of risk appetite.
+
+    beta: the month's change of the high-beta beside the low-beta fifth, in per cent
+    (with its changes over a week, two weeks and a quarter); lead_breadth: leaders
+    above their 50-session average; spread: that less the share of all; lead_rel:
+    the month's change of the leaders beside the benchmark.  A ratio's change and not
+    its level is ranked.
+    """
+    calendar = X.market_calendar(bars) if calendar is None else calendar
+    b = X.beta_cohorts(bars, benchmark, calendar).select("date", "ratio")
+    m = X.momentum_cohort(bars, benchmark, calendar).select("date", "leaders_above", "all_above", "relative")
+    x = b.join(m, "date").withColumn("symbol", F.lit("all"))
+    change = lambda c, k: (F.col(c) / F.lag(c, k).over(S.by_symbol()) - 1.0) * 100
+    x = x.select("date", "symbol", change("ratio", 21).alias("beta"), F.col("leaders_above").alias("lead_breadth"), (F.col("leaders_above") - F.col("all_above")).alias("spread"), change("relative", 21).alias("lead_rel"), *(change("ratio", k).alias(f"r{k}") for k in (5, 10, 63)))
+    g = _gauges(x, {c: c for c in ("beta", "lead_breadth", "spread", "lead_rel")}, lookback)
+    extra = x.groupBy(F.lit("beta").alias("gauge")).agg(*(F.max_by(f"r{k}", "date").alias(f"r{k}") for k in (5, 10, 63)))
+    return g.join(F.broadcast(extra), "gauge", "left")
+
+
+def scoreboard(bars: DataFrame, calendar: DataFrame, lookback: int = 1260, week: int = 5, least_dollar: float = 10e6) -> DataFrame:
+    """gauge, last, pct of the six weekly gauges: three breadth shares, net highs, flags, and volume highs of the last sessions."""
+    n = X.counts_through_time(bars, calendar, least_dollar).withColumn("symbol", F.lit("all")).withColumn("volume_highs", S.rolling(F.sum, "volume_highs", week))
+    x = X.breadth(bars, calendar).join(n.drop("symbol"), "date")
+    return _gauges(x, {c: c for c in ("pct_above_20", "pct_above_50", "pct_above_200", "net_highs", "flags", "volume_highs")}, lookback)
 
 
 def theme_levels(bars: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.functions import series as S
+from sessionloom.functions import stats
+from sessionloom.sources.bars import PRICE_SCALE
+
+#: Rows of a list of symbols up to which it is broadcast.
+BROADCAST_ROWS = 100_000
 
 # ---------------------------------------------------------------- universe and calendar
 
@@ -85,33 +92,55 @@ def equal_weight(returns: DataFrame, mask: str) -> DataFrame:
 
 
 def chain_level(ret: str, start: float = 100.0, key: str | None = None) -> Column:
-    """Compounded level by date, within a key if one is named; one row for each date, so a short series."""
+    """Compounded level by date, within a key if one is named; one row for each date, so a short series.
+
+    A return below -1, as the spread of two returns can be, turns the sign.
+    """
     w = (W.partitionBy(key) if key else W.partitionBy()).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    return F.lit(start) * F.exp(F.sum(F.log1p(F.coalesce(F.col(ret), F.lit(0.0)))).over(w))
+    factor = F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0))
+    size = F.exp(F.sum(F.when(factor != 0, F.log(F.abs(factor))).otherwise(0.0)).over(w))
+    turns = F.sum(F.when(factor < 0, 1).otherwise(0)).over(w)
+    return F.when(F.min(F.abs(factor)).over(w) == 0, 0.0).otherwise(F.lit(start) * size * F.when(turns % 2 == 1, -1.0).otherwise(1.0))
+
+
+def padded(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """symbol, date, close, p, ret on every session of the calendar from a symbol's first bar on.
+
+    ``close`` is null where a symbol has no bar, ``p`` the last known one, and ``ret``
+    its change, so a closed market is a return of 0 that counts.
+    """
+    x = S.on_calendar(bars.select("symbol", "date", "close"), calendar).withColumn("p", S.last_known("close").cast("double"))
+    return x.withColumn("ret", F.col("p") / F.lag("p").over(S.by_symbol()) - 1.0)
 
 
-def beta_cohorts(bars: DataFrame, benchmark: str, window: int = 126, share: float = 0.2) -> DataFrame:
-    """By session: levels of the equal-weight top and bottom fifth by rolling beta, and their ratio."""
-    r = bars.select("symbol", "date", S.lag_ret().alias("ret"))
-    b = r.where(F.col("symbol") == benchmark).select("date", F.col("ret").alias("b"))
-    x = r.where(F.col("symbol") != benchmark).join(b, "date", "left")
+def _beside(bars: DataFrame, calendar: DataFrame, benchmark: str) -> DataFrame:
+    """Padded members with the benchmark's return ``b`` and price ``bp`` of each session."""
+    x = padded(bars, calendar)
+    b = x.where(F.col("symbol") == benchmark).select("date", F.col("ret").alias("b"), F.col("p").alias("bp"))
+    return x.where(F.col("symbol") != benchmark).join(b, "date", "left")
+
+
+def beta_cohorts(bars: DataFrame, benchmark: str, calendar: DataFrame | None = None, window: int = 126, share: float = 0.2) -> DataFrame:
+    """By session: levels of the equal-weight top and bottom fifth by rolling beta, and their ratio; all on one calendar."""
+    x = _beside(bars, market_calendar(bars) if calendar is None else calendar, benchmark)
     both = F.when(F.col("ret").isNotNull() & F.col("b").isNotNull(), F.col("b"))
     x = x.withColumn("beta", F.when(F.count(both).over(S.frame(window)) >= window, F.covar_samp("ret", "b").over(S.frame(window)) / F.var_samp("b").over(S.frame(window))))
     x = x.withColumn("rank", pct_rank("beta", "date"))
-    x = x.withColumn("top", F.coalesce(F.col("rank") > 1 - share, F.lit(False))).withColumn("bottom", F.coalesce(F.col("rank") <= share, F.lit(False)))
+    x = x.withColumn("top", F.coalesce(F.col("rank") >= 1 - share, F.lit(False))).withColumn("bottom", F.coalesce(F.col("rank") <= share, F.lit(False)))
     hi, lo = equal_weight(x, "top").select("date", F.col("level").alias("high_beta")), equal_weight(x, "bottom").select("date", F.col("level").alias("low_beta"))
     return hi.join(lo, "date").withColumn("ratio", F.col("high_beta") / F.col("low_beta"))
 
 
-def momentum_cohort(bars: DataFrame, skip: int = 21, back: int = 147, share: float = 0.2) -> DataFrame:
-    """By session: members of the top fifth by momentum, their index, and the shares of it and of all above the 50-session average."""
+def momentum_cohort(bars: DataFrame, benchmark: str, calendar: DataFrame | None = None, skip: int = 21, back: int = 147, share: float = 0.2) -> DataFrame:
+    """By session: members of the top fifth by momentum, their index, it beside the benchmark, and the shares of it and of all above the 50-session average."""
+    x = _beside(bars, market_calendar(bars) if calendar is None else calendar, benchmark)
     w = S.by_symbol()
-    p = F.col("close").cast("double")
-    x = bars.select("symbol", "date", S.lag_ret().alias("ret"), (F.lag(p, skip).over(w) / F.lag(p, back).over(w) - 1.0).alias("mom"), (S.to_price_col("close") > S.rolling_mean("close", 50)).alias("above"))
-    x = x.withColumn("rank", pct_rank("mom", "date")).withColumn("top", F.coalesce(F.col("rank") > 1 - share, F.lit(False)))
+    c = F.col("close").cast("double")
+    x = x.withColumn("mom", F.lag(c, skip).over(w) / F.lag(c, back).over(w) - 1.0).withColumn("above", S.to_price_col("close") > S.rolling_mean("close", 50))
+    x = x.withColumn("rank", pct_rank("mom", "date")).withColumn("top", F.coalesce(F.col("rank") >= 1 - share, F.lit(False)))
     share_of = lambda c: F.avg(F.when(c & F.col("above").isNotNull(), F.col("above").cast("double"))) * 100
-    b = x.groupBy("date").agg(share_of(F.col("top")).alias("leaders_above"), share_of(F.lit(True)).alias("all_above"), F.sum(F.col("top").cast("long")).alias("named"))
-    return b.join(equal_weight(x, "top").select("date", "level"), "date")
+    b = x.groupBy("date").agg(share_of(F.col("top")).alias("leaders_above"), share_of(F.lit(True)).alias("all_above"), F.sum(F.col("top").cast("long")).alias("named"), F.max("bp").alias("bp"))
+    return b.join(equal_weight(x, "top").select("date", "level"), "date").withColumn("relative", F.col("level") / (F.col("bp") / PRICE_SCALE)).drop("bp")
 
 
 # ---------------------------------------------------------------- setups
@@ -123,53 +152,77 @@ def volume_masks(bars: DataFrame) -> DataFrame:
     v = F.col("volume").cast("double")
     x = bars.withColumn("v", v).withColumn("prior", F.lag("v").over(w))
     ever = w.rowsBetween(W.unboundedPreceding, 0)
+    known = lambda c: F.coalesce(c & (F.col("volume") > 0), F.lit(False))
     return x.select(
-        "symbol", "date", "volume", (F.col("volume") >= S.rolling(F.max, "volume", 252, 60)).alias("year_high"), F.when(F.count("volume").over(ever) >= 60, F.col("volume") >= F.max("volume").over(ever)).alias("ever_high"),
+        "symbol", "date", "close", "volume", known(F.col("volume") >= S.rolling(F.max, "volume", 252, 60)).alias("year_high"), known(F.when(F.count("volume").over(ever) >= 60, F.col("volume") >= F.max("volume").over(ever))).alias("ever_high"),
         (F.col("v") / S.rolling_median("prior", 51, 20)).alias("rvol"), (S.to_price_col("close") * F.col("v")).alias("dollar"),
     )
 
 
-def volume_edge(bars: DataFrame, last: int = 5, least_dollar: float = 10e6) -> DataFrame:
-    """The latest volume high of each symbol within its last sessions, at enough traded value."""
-    m = volume_masks(bars).withColumn("rn", F.row_number().over(S.latest_first()))
-    hit = m.where((F.col("rn") <= last) & (F.col("year_high") | F.coalesce("ever_high", F.lit(False))) & (F.col("dollar") >= least_dollar))
-    return hit.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by("rvol", "date").alias("rvol"), F.max_by("ever_high", "date").alias("ever_high"), F.max_by("dollar", "date").alias("dollar"))
-
+def volume_edge(bars: DataFrame, last: int = 5, least_dollar: float = 10e6, least: int = 65, year: int = 252) -> DataFrame:
+    """The latest yearly volume high of each symbol within its last sessions, at enough traded value.
 
-def tight_flags(bars: DataFrame, flags: tuple[int, ...] = tuple(range(10, 36)), gain: float = 1.0, pull: float = 0.25, at_high: float = 0.05, still: float = 0.15, least: int = 292) -> DataFrame:
-    """Sessions in a flag of h sessions after a doubling: symbol, date, and of the flags that fit the one of greatest gain (of ties the shortest).
-
-    The run's low is that of the 40 sessions before its peak's window; each h is a
-    pair of window frames over one sort.
+    symbol, date, ever_high, ipo_high (all-time high of a series shorter than a
+    year), rvol, chg, off_high (of the last close, from the year's highest up to the
+    hit), dvol_m and r1w.
+    """
+    w, whole = S.by_symbol(), W.partitionBy("symbol")
+    p = F.col("close").cast("double")
+    m = volume_masks(bars).withColumn("rn", F.row_number().over(S.latest_first())).withColumn("n", F.count("*").over(whole))
+    m = m.withColumn("chg", p / F.lag(p).over(w) - 1.0).withColumn("hi52", F.max(p).over(S.frame(year)))
+    at = lambda k: F.max(F.when(F.col("rn") == k, p)).over(whole)
+    m = m.withColumn("last", at(1)).withColumn("week", at(6))
+    hit = m.where((F.col("n") >= least) & (F.col("rn") <= last) & F.col("year_high") & (F.col("dollar") >= least_dollar))
+    hit = hit.withColumn("k", F.row_number().over(S.latest_first())).where("k = 1")
+    return hit.select("symbol", "date", "ever_high", (F.col("ever_high") & (F.col("n") < year)).alias("ipo_high"), "rvol", "chg", (F.col("last") / F.col("hi52") - 1.0).alias("off_high"), (F.col("dollar") / 1e6).alias("dvol_m"), F.when(F.col("n") > 6, F.col("last") / F.col("week") - 1.0).alias("r1w"))
+
+
+def tight_flags(bars: DataFrame, flags: tuple[int, ...] = tuple(range(10, 36)), gain: float = 1.0, pull: float = 0.25, at_high: float = 0.05, still: float = 0.15, run: int = 40, year: int = 252) -> DataFrame:
+    """Sessions in a flag of h closes after a doubling: symbol, date, and of the flags that fit the one of greatest gain (of ties the shortest).
+
+    The run tops h sessions ago at the yearly high, from the lowest close of the
+    ``run`` sessions up to there; since then no close fell further than ``pull``, and
+    the last stands near the yearly high.  A series of fewer than ``year + run``
+    sessions has none.  Each h is a pair of window frames over one sort.
     """
     w = S.by_symbol()
-    hi52 = S.rolling(F.max, "high", 252)
-    x = bars.withColumn("hi52", hi52).withColumn("low40", S.rolling(F.min, "low", 40)).withColumn("k", F.row_number().over(w))
-    close = F.col("close").cast("double")
+    x = bars.select("symbol", "date", F.col("close").cast("double").alias("c")).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
+    x = x.withColumn("hi52", S.rolling(F.max, "c", year)).withColumn("base", S.rolling(F.min, "c", run))
     fits = []
     for h in flags:
-        peak = F.max("high").over(w.rowsBetween(-h, 0)).cast("double")
-        low = F.lag("low40", h).over(w).cast("double")
-        trough = F.min("low").over(w.rowsBetween(-(h - 1), 0)).cast("double")
-        g = peak / low - 1.0
-        ok = (g >= gain) & (1.0 - trough / peak <= pull) & (peak >= F.lag("hi52", h).over(w) * (1 - at_high)) & (close >= peak * (1 - still)) & (F.col("k") >= least)
-        fits.append(F.when(ok, F.struct(g.alias("gain"), F.lit(-h).alias("minus_h"), (1.0 - trough / peak).alias("pull"))))
-    best = x.select("symbol", "date", F.array_max(F.array_compact(F.array(*fits))).alias("b")).where("b is not null")
+        peak = F.lag("c", h).over(w)
+        deep = 1.0 - F.min("c").over(S.frame(h)) / peak
+        g = peak / F.lag("base", h).over(w) - 1.0
+        ok = (g >= gain) & (deep <= pull) & (peak >= F.lag("hi52", h).over(w) * (1 - at_high)) & (F.col("c") >= F.col("hi52") * (1 - still))
+        fits.append(F.when(ok, F.struct(g.alias("gain"), F.lit(-h).alias("minus_h"), deep.alias("pull"))))
+    best = x.select("symbol", "date", F.when(F.col("n") >= year + run, F.array_max(F.array_compact(F.array(*fits)))).alias("b")).where("b is not null")
     return best.select("symbol", "date", "b.gain", (-F.col("b.minus_h")).alias("flag"), "b.pull")
 
 
-def counts_through_time(hits: DataFrame, calendar: DataFrame, flag: str) -> DataFrame:
-    """Symbols that a flag names on each session of the calendar."""
-    g = hits.groupBy("date").agg(F.sum(F.col(flag).cast("long")).alias("n"))
-    return calendar.select("date").distinct().join(g, "date", "left").select("date", F.coalesce("n", F.lit(0)).alias("n"))
+def flag_list(bars: DataFrame, run: int = 40, year: int = 252, **kw) -> DataFrame:
+    """Symbols whose last session is in a flag: gain, flag, pull, the flag's mean volume beside the run's, and distance from the yearly high."""
+    x = bars.select("symbol", "date", "close", "volume", F.row_number().over(S.latest_first()).alias("rn"))
+    now = tight_flags(bars, run=run, year=year, **kw).join(x.where("rn = 1").select("symbol", "date"), ["symbol", "date"])
+    near = x.where(F.col("rn") <= year).join(now, "symbol")
+    flag = F.avg(F.when(F.col("rn") <= F.col("flag"), F.col("volume")))
+    before = F.avg(F.when((F.col("rn") > F.col("flag")) & (F.col("rn") <= F.col("flag") + run), F.col("volume")))
+    return near.groupBy("symbol", "gain", "flag", "pull").agg(F.when(before > 0, flag / before).alias("volratio"), (F.max(F.when(F.col("rn") == 1, F.col("close"))) / F.max("close").cast("double") - 1.0).alias("off_high"))
 
 
-def leaderboard(bars: DataFrame, themes: DataFrame) -> DataFrame:
-    """Themes (symbol, ordinal) by one-month return now and a week ago: ranks, their change, and returns; ties in the order of the list."""
+def counts_through_time(bars: DataFrame, calendar: DataFrame, least_dollar: float = 10e6, **kw) -> DataFrame:
+    """date, flags, volume_highs: symbols in a flag, and at a yearly volume high of enough traded value, on each session of the calendar."""
+    flags = tight_flags(bars, **kw).groupBy("date").agg(F.count("*").alias("flags"))
+    highs = volume_masks(bars).where(F.col("year_high") & (F.col("dollar") >= least_dollar)).groupBy("date").agg(F.count("*").alias("volume_highs"))
+    return calendar.select("date").distinct().join(flags, "date", "left").join(highs, "date", "left").select("date", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("flags", "volume_highs")))
+
+
+def leaderboard(bars: DataFrame, themes: DataFrame, least: int = 70) -> DataFrame:
+    """Themes (symbol, ordinal) of enough sessions by one-month return now and a month ago: ranks, their change, and returns; ties in the order of the list."""
     w = S.by_symbol()
     p = F.col("close").cast("double")
-    x = bars.select("symbol", "date", S.lag_ret(k=5).alias("r1w"), S.lag_ret(k=21).alias("r1m"), S.lag_ret(k=63).alias("r3m"), (F.lag(p, 5).over(w) / F.lag(p, 26).over(w) - 1.0).alias("prev1m"), F.row_number().over(S.latest_first()).alias("rn"))
-    last = x.where("rn = 1").join(F.broadcast(themes.select("symbol", "ordinal")), "symbol").withColumn("one", F.lit(1))
+    x = bars.join(F.broadcast(themes.select("symbol")), "symbol", "left_semi") if themes.count() <= BROADCAST_ROWS else bars.join(themes.select("symbol"), "symbol", "left_semi")
+    x = x.select("symbol", "date", S.lag_ret(k=5).alias("r1w"), S.lag_ret(k=21).alias("r1m"), S.lag_ret(k=63).alias("r3m"), (F.lag(p, 21).over(w) / F.lag(p, 42).over(w) - 1.0).alias("prev1m"), F.row_number().over(S.latest_first()).alias("rn"), F.count("*").over(W.partitionBy("symbol")).alias("n"))
+    last = x.where((F.col("rn") == 1) & (F.col("n") >= least)).join(themes.select("symbol", "ordinal"), "symbol").withColumn("one", F.lit(1))
     rank = lambda c: F.row_number().over(W.partitionBy("one").orderBy(F.desc_nulls_last(c), "ordinal"))
     return last.withColumn("rank", rank("r1m")).withColumn("prev_rank", rank("prev1m")).select("symbol", "r1w", "r1m", "r3m", "rank", "prev_rank", (F.col("prev_rank") - F.col("rank")).alias("change"))
 
@@ -262,14 +315,14 @@ def realized(held: DataFrame, bars: DataFrame) -> DataFrame:
 def ledger_index(held: DataFrame, bars: DataFrame, slots: int = 5) -> DataFrame:
     """date, level: 100 (1 + sum of the instances' returns over slots); closed ones are frozen, prices are the last known."""
     price = bars.select("symbol", "date", "close")
-    names = held.select("symbol").distinct()
-    days = price.join(names, "symbol", "left_semi").select("date").distinct()
-    start = held.agg(F.min("entry").alias("start"))
-    days = days.join(F.broadcast(start)).where("date >= start").select("date")
     entry = S.as_of_backward(held, price, "entry").withColumnRenamed("close", "entry_close").drop("bar_date")
-    at = entry.join(F.broadcast(days), F.col("date") >= F.col("entry")).withColumn("mark", F.when(F.col("exit") < F.col("date"), F.col("exit")).otherwise(F.col("date")))
-    marked = S.as_of_backward(at.select("symbol", "mark", "date", "entry_close").withColumnRenamed("date", "day"), price, "mark")
-    return marked.groupBy(F.col("day").alias("date")).agg((100 * (1 + F.sum(F.col("close") / F.col("entry_close").cast("double") - 1.0) / slots)).alias("level"))
+    start = held.agg(F.min("entry").alias("start"))
+    days = price.join(held.select("symbol").distinct(), "symbol", "left_semi").select("date").distinct().join(F.broadcast(start)).where("date >= start").select("date")
+    # a level is the sum of all moves up to it: each bar of a name moves the instances that hold it
+    moves = price.withColumn("prior", F.lag("close").over(S.by_symbol())).join(entry, "symbol").where("date > entry and (exit is null or date <= exit)")
+    moves = moves.groupBy("date").agg(F.sum((F.col("close") - F.col("prior")) / F.col("entry_close").cast("double")).alias("move"))
+    so_far = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row for each date
+    return days.join(moves, "date", "left").select("date", (100 * (1 + F.coalesce(F.sum("move").over(so_far), F.lit(0.0)) / slots)).alias("level"))
 
 
 # ---------------------------------------------------------------- factors
@@ -277,24 +330,39 @@ def ledger_index(held: DataFrame, bars: DataFrame, slots: int = 5) -> DataFrame:
 FACTORS = {"mom121": 252, "mom12": 252, "mom1": 21, "offhigh": 252, "vol": 63, "beta": 252, "ddepth": 252, "trend": 200}
 
 
+def _deepest(window: int):
+    """A group's rows by date with ``ddepth``: the deepest fall from a prior high within the window, in strides of some thousand rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        p = np.concatenate([np.full(window - 1, np.nan), pdf["close"].to_numpy(float)])
+        view = np.lib.stride_tricks.sliding_window_view(p, window)
+        out = np.full(len(pdf), np.nan)
+        for i in range(0, len(pdf), 4000):
+            part = view[i : i + 4000]
+            out[i : i + 4000] = np.fmin.reduce(part / np.fmax.accumulate(part, axis=1) - 1.0, axis=1)
+        return pdf.assign(ddepth=out)
+
+    return run
+
+
 def factor_scores(bars: DataFrame, calendar: DataFrame, benchmark: str) -> DataFrame:
     """symbol, date, row, first_row, close, dollar and a raw score of each factor, on one calendar without fill."""
     cal = calendar.select("date").distinct()
     cal = cal.withColumn("one", F.lit(1)).withColumn("row", F.row_number().over(W.partitionBy("one").orderBy("date"))).drop("one")
-    x = S.on_calendar(bars.select("symbol", "date", "close", "volume"), cal).join(F.broadcast(cal), "date")
+    x = S.on_calendar(bars.select("symbol", "date", "close", "adj_close", "volume"), cal).join(cal, "date")
     w = S.by_symbol()
     p = F.col("close").cast("double")
     lag = lambda k: F.lag(p, k).over(w)
-    x = x.withColumn("ret", p / lag(1) - 1.0)
+    x = x.withColumn("ret", p / lag(1) - 1.0).withColumn("ret_adj", S.lag_ret("adj_close"))
     b = x.where(F.col("symbol") == benchmark).select("date", F.col("ret").alias("b"))
-    x = x.where(F.col("symbol") != benchmark).join(F.broadcast(b), "date", "left")
+    x = x.where(F.col("symbol") != benchmark).join(b, "date", "left")
+    x = x.groupBy("symbol").applyInPandas(_deepest(252), x.schema.simpleString()[7:-1] + ",ddepth:double")
     mean = lambda n: F.avg(p).over(S.frame(n))
-    closes = F.collect_list(p).over(S.frame(252))
-    fall = F.aggregate(closes, F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("dd")), lambda a, v: F.struct(F.greatest(a["top"], v).alias("top"), F.least(a["dd"], v / F.greatest(a["top"], v) - 1.0).alias("dd")))["dd"]
     return x.select(
-        "symbol", "date", "row", F.min(F.when(F.col("close").isNotNull(), F.col("row"))).over(W.partitionBy("symbol")).alias("first_row"), S.to_price_col("close").alias("close"), "ret", S.rolling_median(S.to_price_col("close") * F.col("volume"), 20, 10).alias("dollar"),
+        "symbol", "date", "row", F.min(F.when(F.col("close").isNotNull(), F.col("row"))).over(W.partitionBy("symbol")).alias("first_row"), S.to_price_col("close").alias("close"), "ret", "ret_adj", S.rolling_median(S.to_price_col("close") * F.col("volume"), 20, 10).alias("dollar"),
         (lag(21) / lag(252) - 1.0).alias("mom121"), (p / lag(252) - 1.0).alias("mom12"), (p / lag(21) - 1.0).alias("mom1"), (p / F.max(p).over(S.frame(252)) - 1.0).alias("offhigh"), (F.stddev_pop("ret").over(S.frame(63)) * F.sqrt(F.lit(252.0))).alias("vol"),
-        (F.covar_pop("ret", "b").over(S.frame(252)) / F.nullif(F.var_pop("b").over(S.frame(252)), F.lit(0.0))).alias("beta"), fall.alias("ddepth"), ((p / mean(20) + p / mean(50) + p / mean(200)) / 3 - 1.0).alias("trend"),
+        (F.covar_pop("ret", "b").over(S.frame(252)) / F.nullif(F.var_pop("b").over(S.frame(252)), F.lit(0.0))).alias("beta"), "ddepth", ((p / mean(20) + p / mean(50) + p / mean(200)) / 3 - 1.0).alias("trend"),
     )
 
 
@@ -305,15 +373,16 @@ def rebalance_picks(scores: DataFrame, names: int = 20, min_price: float = 1.0,
     the final session of the calendar never does.  z is of scores clipped to their
     1st and 99th percentiles, with population deviation; ties go by name.
     """
-    total = scores.select("symbol").distinct().count()
     ends = scores.groupBy(F.trunc("date", "MM").alias("m")).agg(F.max("row").alias("row"))
     last = scores.agg(F.max("row").alias("last"))
     ends = ends.join(F.broadcast(last)).where("row < last").select("row")
-    x = scores.join(F.broadcast(ends), "row", "left_semi")
+    x = scores.join(ends, "row", "left_semi")
     fit = (F.col("close") >= min_price) & (F.col("dollar") >= min_dollar)
     longest = max(factors.values())
-    enough = x.groupBy("row").agg(F.sum((fit & (F.col("first_row") <= F.col("row") - longest)).cast("long")).alias("n")).where(F.col("n") >= min_share * total)
-    x = x.join(F.broadcast(enough.select("row")), "row", "left_semi")
+    enough = x.groupBy("row").agg(F.sum((fit & (F.col("first_row") <= F.col("row") - longest)).cast("long")).alias("n"))
+    total = scores.agg(F.countDistinct("symbol").alias("total"))
+    enough = enough.join(F.broadcast(total)).where(F.col("n") >= min_share * F.col("total"))
+    x = x.join(enough.select("row"), "row", "left_semi")
     long = x.select("symbol", "date", "row", F.explode(F.array(*(F.struct(F.lit(k).alias("factor"), F.when(fit & (F.col("first_row") <= F.col("row") - n), F.col(k)).alias("raw")) for k, n in factors.items()))).alias("f")).select("symbol", "date", "row", "f.*").where("raw is not null and not isnan(raw)")
     w = W.partitionBy("factor", "row")
     c = long.withColumn("lo", F.percentile("raw", F.lit(0.01)).over(w)).withColumn("hi", F.percentile("raw", F.lit(0.99)).over(w)).withColumn("c", F.least(F.greatest("raw", "lo"), "hi"))
@@ -324,14 +393,36 @@ def rebalance_picks(scores: DataFrame, names: int = 20, min_price: float = 1.0,
     return r.withColumn("side", F.when(F.col("place") <= cut, "hi").when(F.col("place") > F.col("n") - cut, "lo")).where("side is not null").select("factor", "date", "row", "symbol", "z", "side")
 
 
+def factor_snapshot(scores: DataFrame, picks: DataFrame, factors: dict[str, int] = FACTORS) -> DataFrame:
+    """factor, side, symbol, z_snapshot, scored, per_side, date of each factor's last choice.
+
+    ``z_snapshot`` is among all symbols with a score and enough history, whether or
+    not their price and traded value let them be chosen; ``z`` of the picks is among
+    those that could be.
+    """
+    last = picks.groupBy("factor").agg(F.max("row").alias("row"))
+    raw = F.explode(F.array(*(F.struct(F.lit(k).alias("factor"), F.when(F.col("first_row") <= F.col("row") - n, F.col(k)).alias("raw")) for k, n in factors.items()))).alias("f")
+    long = scores.join(last.select("row").distinct(), "row", "left_semi").select("symbol", "row", raw).select("symbol", "row", "f.*").join(last, ["factor", "row"]).where("raw is not null and not isnan(raw)")
+    z = stats.winsorized_z(long, "raw", "factor", out="z_snapshot").withColumn("scored", F.count("*").over(W.partitionBy("factor")))
+    mine = picks.join(last, ["factor", "row"]).withColumn("per_side", F.count("*").over(W.partitionBy("factor", "side")))
+    return mine.join(z.select("factor", "symbol", F.round("z_snapshot", 2).alias("z_snapshot"), "scored"), ["factor", "symbol"]).select("factor", "side", "symbol", "z_snapshot", "scored", "per_side", "date")
+
+
 def factor_levels(scores: DataFrame, picks: DataFrame) -> DataFrame:
-    """factor, side, date, level: members chosen at a session earn the sessions after it up to the next choice."""
-    rows = picks.select("factor", "row").distinct().withColumn("next", F.lead("row").over(W.partitionBy("factor").orderBy("row")))
-    held = picks.select("factor", "row", "side", "symbol").join(rows, ["factor", "row"])
-    r = scores.select("symbol", F.col("row").alias("at"), "date", "ret")
-    x = r.join(F.broadcast(held), "symbol").where("at > row and (next is null or at <= next)")
-    day = x.groupBy("factor", "side", "date").agg(F.avg("ret").alias("ret")).withColumn("id", F.concat_ws("_", F.lit("fac"), "factor", "side"))
-    return day.select("id", "factor", "side", "date", chain_level("ret", key="id").alias("level"))
+    """id, factor, side, date, level, adj_level: members chosen at a session earn the sessions after it up to the next choice.
+
+    Sides are hi, lo and ls, the difference of their returns, which has no dividends
+    of its own.  Each choice is laid out on its sessions, so the join is on (symbol, session).
+    """
+    end = scores.agg(F.max("row").alias("end"))
+    rows = picks.select("factor", "row").distinct().withColumn("next", F.lead("row").over(W.partitionBy("factor").orderBy("row"))).join(F.broadcast(end)).withColumn("next", F.coalesce("next", "end"))
+    held = picks.select("factor", "row", "side", "symbol").join(rows, ["factor", "row"]).where("next > row").withColumn("at", F.explode(F.sequence(F.col("row") + 1, F.col("next"))))
+    x = scores.select("symbol", F.col("row").alias("at"), "date", "ret", "ret_adj").join(held.select("factor", "side", "symbol", "at"), ["symbol", "at"])
+    day = x.groupBy("factor", "side", "date").agg(F.avg("ret").alias("ret"), F.avg("ret_adj").alias("ret_adj"))
+    side = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
+    spread = day.groupBy("factor", "date").agg((side("hi", "ret") - side("lo", "ret")).alias("ret")).select("factor", F.lit("ls").alias("side"), "date", "ret", F.col("ret").alias("ret_adj"))
+    day = day.unionByName(spread).where("ret is not null").withColumn("id", F.concat_ws("_", F.lit("fac"), "factor", "side"))
+    return day.select("id", "factor", "side", "date", chain_level("ret", key="id").alias("level"), chain_level("ret_adj", key="id").alias("adj_level"))
 
 
 # ---------------------------------------------------------------- validation

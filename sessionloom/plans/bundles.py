@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.operators import analytics as A
 from sessionloom.operators import bundles as B
 from sessionloom.operators import cross as X
-from sessionloom.plans.cross import _BASKET, _CAL, _MASKS, _members
+from sessionloom.plans.cross import _BASKET, _CAL, _COHORT, _FLAGS, _MASKS, _RAMP, _members, ramped
 from sessionloom.plans.registry import query
 from sessionloom.plans.studies import BRA, ORD, r6
 from sessionloom.sources.bars import bars_of_brands, bars_of_orders
@@ -28,16 +28,27 @@ def _(spark, d):
     return r6(B.week_context(bars_of_orders(spark, d)).where("z is not null"), "move_pct", "z", "pct")
 
 
-@query("x9_gauges")
+_BREADTH = f"""bx AS (SELECT date, close, count(*) OVER (PARTITION BY symbol) AS total, {', '.join(f'CASE WHEN count(*) OVER m{n} >= {n} THEN sum(close) OVER m{n} / count(*) OVER m{n} END AS ma{n}' for n in (20, 50, 200))}, CASE WHEN count(*) OVER y >= 252 THEN close >= max(close) OVER y END AS hi, CASE WHEN count(*) OVER y >= 252 THEN close <= min(close) OVER y END AS lo FROM bars
+  WINDOW m20 AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), m50 AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING), m200 AS (PARTITION BY symbol ORDER BY date ROWS 199 PRECEDING), y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)),
+  bg AS (SELECT date, {', '.join(f'avg(CASE WHEN ma{n} IS NOT NULL THEN CAST(close > ma{n} AS INT) END) * 100 AS pct_above_{n}' for n in (20, 50, 200))}, coalesce(sum(CAST(hi AS INT)), 0) AS new_highs, coalesce(sum(CAST(lo AS INT)), 0) AS new_lows FROM bx WHERE total >= 30 GROUP BY date), bd AS (SELECT * FROM cal JOIN bg USING (date))"""
+_PCT = lambda src: f"gx AS (SELECT gauge, date, v, row_number() OVER (PARTITION BY gauge ORDER BY date DESC) AS k FROM ({src}) WHERE v IS NOT NULL), gy AS (SELECT gauge, max(v) FILTER (WHERE k = 1) AS last FROM gx GROUP BY gauge), gp AS (SELECT gauge, any_value(last) AS last, CASE WHEN count(*) >= 30 THEN 100.0 * avg(CAST(v < last AS INT)) END AS pct FROM gx JOIN gy USING (gauge) WHERE k <= 1260 GROUP BY gauge)"
+
+
+@query("x9_risk_gauges", f"""{BRA}, {_COHORT}, cg AS (SELECT date, leaders_above, leaders_above - all_above AS spread, {', '.join(f"(ratio / lag(ratio, {k}) OVER w - 1) * 100 AS r{k}" for k in (5, 10, 21, 63))}, (relative / lag(relative, 21) OVER w - 1) * 100 AS rel FROM ch WINDOW w AS (ORDER BY date)),
+  {_PCT("SELECT 'beta' AS gauge, date, r21 AS v FROM cg UNION ALL SELECT 'lead_breadth', date, leaders_above FROM cg UNION ALL SELECT 'spread', date, spread FROM cg UNION ALL SELECT 'lead_rel', date, rel FROM cg")}
+  SELECT gauge, round(last, 5) AS last, round(pct, 6) AS pct, {', '.join(f"CASE WHEN gauge = 'beta' THEN (SELECT round(arg_max(r{k}, date), 5) FROM cg) END AS r{k}" for k in (5, 10, 63))} FROM gp""")
 def _(spark, d):
-    b = bars_of_brands(spark, d)
-    return B.gauges(b, X.market_calendar(b))
+    x = B.risk_gauges(bars_of_brands(spark, d), "b11")
+    return x.select("gauge", F.round("pct", 6).alias("pct"), *(F.round(c, 5).alias(c) for c in ("last", "r5", "r10", "r63")))
 
 
-@query("x16_scoreboard", f"{BRA}, {_CAL}, {_MASKS}, c AS (SELECT cal.date, CAST(coalesce(sum(CAST(year_high AS INT)), 0) AS BIGINT) AS n FROM cal LEFT JOIN vx ON vx.date = cal.date GROUP BY cal.date) SELECT date, n AS volume_highs, CASE WHEN count(*) OVER w >= 5 THEN CAST(sum(n) OVER w AS BIGINT) END AS week FROM c WINDOW w AS (ORDER BY date ROWS 4 PRECEDING)")
+@query("x16_scoreboard", f"""{_RAMP}, {_CAL}, {_MASKS}, {_FLAGS}, {_BREADTH}, nn AS (SELECT cal.date, coalesce(a.flags, 0) AS flags, coalesce(b.highs, 0) AS highs FROM cal LEFT JOIN (SELECT date, count(*) AS flags FROM fl GROUP BY date) a USING (date) LEFT JOIN (SELECT date, count(*) AS highs FROM vx WHERE year_high AND dollar >= 1000 GROUP BY date) b USING (date)), n5 AS (SELECT date, flags, CASE WHEN count(*) OVER w >= 5 THEN sum(highs) OVER w END AS highs FROM nn WINDOW w AS (ORDER BY date ROWS 4 PRECEDING)),
+  {_PCT("SELECT 'flags' AS gauge, date, CAST(flags AS DOUBLE) AS v FROM n5 UNION ALL SELECT 'volume_highs', date, CAST(highs AS DOUBLE) FROM n5 UNION ALL SELECT 'net_highs', date, CAST(new_highs - new_lows AS DOUBLE) FROM bd UNION ALL SELECT 'pct_above_20', date, pct_above_20 FROM bd UNION ALL SELECT 'pct_above_50', date, pct_above_50 FROM bd UNION ALL SELECT 'pct_above_200', date, pct_above_200 FROM bd")}
+  SELECT gauge, round(last, 5) AS last, round(pct, 6) AS pct FROM gp""")
 def _(spark, d):
-    b = bars_of_brands(spark, d)
-    return B.scoreboard(b, X.market_calendar(b))
+    b = ramped(spark, d)
+    x = B.scoreboard(b, X.market_calendar(b), least_dollar=1000)
+    return x.select("gauge", F.round("last", 5).alias("last"), F.round("pct", 6).alias("pct"))
 
 
 @query("x28_theme_levels", f"""{BRA}, {_BASKET}, m AS (SELECT last FROM (SELECT last, count(*) AS k FROM (SELECT max(date) AS last FROM bars GROUP BY symbol) GROUP BY last) ORDER BY k DESC, last DESC LIMIT 1), b AS (SELECT basket, symbol, date, close FROM bars JOIN mb USING (symbol), m WHERE date <= last),
@@ -102,14 +113,6 @@ def _(spark, d):
     return json_rows(A.month_returns(b).withColumn("month", F.col("month").cast("string")), "symbol")
 
 
-@query("x13_last_volume_ratio", f"{BRA}, {_MASKS} SELECT symbol, date, round(rvol, 6) AS rvol FROM vx WHERE k = 1")
-def _(spark, d):
-    from sessionloom.functions import series as S
-
-    m = X.volume_masks(bars_of_brands(spark, d)).withColumn("rn", F.row_number().over(S.latest_first())).where("rn = 1")
-    return m.select("symbol", "date", F.round("rvol", 6).alias("rvol"))
-
-
 @query("st14_move_stat", f"{BRA}, o AS (SELECT symbol, sqrt(var_samp(ret)) AS sd, count(*) AS n FROM r WHERE rn > 1 AND ret IS NOT NULL GROUP BY symbol) SELECT r.symbol, round(abs(ret) / sd, 6) AS z FROM r JOIN o USING (symbol) WHERE rn = 1 AND n >= 4 AND sd > 0 AND ret IS NOT NULL")
 def _(spark, d):
     return A.move_context(bars_of_brands(spark, d), 1).where("z is not null").select("symbol", F.round("z", 6).alias("z"))

@@ -8,7 +8,7 @@ from sessionloom.functions import series as S
 from sessionloom.operators import cross as X
 from sessionloom.plans.registry import query
 from sessionloom.plans.studies import BRA, ORD, r6
-from sessionloom.sources.bars import bars_of_brands, bars_of_orders
+from sessionloom.sources.bars import BRANDS_SQL, ORDERS_SQL, bars_of_brands, bars_of_orders
 
 _CAL = "cal AS (SELECT DISTINCT date FROM bars WHERE symbol = (SELECT symbol FROM (SELECT symbol, max(date) AS last, count(*) AS n FROM bars GROUP BY symbol) WHERE last = (SELECT last FROM (SELECT last, count(*) AS k FROM (SELECT max(date) AS last FROM bars GROUP BY symbol) GROUP BY last) ORDER BY k DESC, last DESC LIMIT 1) ORDER BY n DESC, symbol LIMIT 1))"
 
@@ -59,20 +59,34 @@ def _(spark, d):
     return b.select("symbol", "date", F.round(X.pct_rank("v", "date"), 6).alias("rank"))
 
 
-@query("x7_momentum_members", f"""{BRA}, mo AS (SELECT symbol, date, round(lag(close, 21) OVER w / lag(close, 147) OVER w - 1, 9) AS v FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)), {_RANK} SELECT date, count(*) AS named FROM rk WHERE rank > 0.8 GROUP BY date""")
+#: Members and the benchmark b11 on one calendar; cohorts by beta and momentum, chained from 100.
+_COHORT = f"""{_CAL}, pg AS (SELECT s.symbol, cal.date, b.close, CAST(last_value(b.close IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY cal.date) AS DOUBLE) AS p FROM cal CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.symbol = s.symbol AND b.date = cal.date),
+  pr AS (SELECT *, p / lag(p) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM pg), bm AS (SELECT date, ret AS b, p AS bp FROM pr WHERE symbol = 'b11'),
+  nm AS (SELECT pr.symbol, pr.date, ret, bp, CASE WHEN count(ret + b) OVER f >= 126 THEN covar_samp(ret, b) OVER f / var_samp(b) OVER f END AS beta, lag(close, 21) OVER w / lag(close, 147) OVER w - 1 AS mom, CASE WHEN count(close) OVER m >= 50 THEN close > sum(close) OVER m / 50.0 END AS above FROM pr JOIN bm USING (date) WHERE pr.symbol <> 'b11'
+    WINDOW w AS (PARTITION BY pr.symbol ORDER BY pr.date), f AS (PARTITION BY pr.symbol ORDER BY pr.date ROWS 125 PRECEDING), m AS (PARTITION BY pr.symbol ORDER BY pr.date ROWS 49 PRECEDING)),
+  rk AS (SELECT *, {', '.join(f"CASE WHEN {v} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {v} NULLS LAST) + (count(*) OVER (PARTITION BY date, {v}) - 1) / 2.0) / count({v}) OVER (PARTITION BY date) END AS {v}_rank" for v in ("beta", "mom"))} FROM nm),
+  hl AS (SELECT *, {', '.join(f"coalesce(lag({c}) OVER (PARTITION BY symbol ORDER BY date), FALSE) AS {n}" for n, c in (("top", "beta_rank >= 0.8"), ("bottom", "beta_rank <= 0.2"), ("lead", "mom_rank >= 0.8")))} FROM rk),
+  dy AS (SELECT date, avg(ret) FILTER (WHERE top) AS h, avg(ret) FILTER (WHERE bottom) AS l, avg(ret) FILTER (WHERE lead) AS m, count(*) FILTER (WHERE mom_rank >= 0.8) AS named, avg(CAST(above AS INT)) FILTER (WHERE mom_rank >= 0.8) * 100 AS leaders_above, avg(CAST(above AS INT)) * 100 AS all_above, max(bp) AS bp FROM hl GROUP BY date),
+  lv AS (SELECT *, {', '.join(f"100 * exp(sum(ln(1 + coalesce({c}, 0))) OVER o) AS {n}" for n, c in (("high_beta", "h"), ("low_beta", "l"), ("level", "m")))} FROM dy WINDOW o AS (ORDER BY date ROWS UNBOUNDED PRECEDING)), ch AS (SELECT *, high_beta / low_beta AS ratio, level / (bp / 100000.0) AS relative FROM lv)"""
+
+
+@query("x7_x8_momentum_index", f"{BRA}, {_COHORT} SELECT date, named, round(leaders_above, 6) AS leaders_above, round(all_above, 6) AS all_above, round(level, 6) AS level, round(relative, 6) AS relative FROM ch")
 def _(spark, d):
-    m = X.momentum_cohort(bars_of_brands(spark, d))
-    return m.where("named > 0").select("date", "named")
+    return r6(X.momentum_cohort(bars_of_brands(spark, d), "b11"), "leaders_above", "all_above", "level", "relative")
 
 
-@query("x7_x8_momentum_index")
+@query("x6_beta_cohorts", f"{BRA}, {_COHORT} SELECT date, round(high_beta, 6) AS high_beta, round(low_beta, 6) AS low_beta, round(ratio, 6) AS ratio FROM ch")
 def _(spark, d):
-    return X.momentum_cohort(bars_of_brands(spark, d))
+    return r6(X.beta_cohorts(bars_of_brands(spark, d), "b11"), "high_beta", "low_beta", "ratio")
 
 
-@query("x6_beta_cohorts")
+@query("x7_momentum_members", f"{BRA}, {_COHORT} SELECT symbol, date FROM rk WHERE mom_rank >= 0.8")
 def _(spark, d):
-    return X.beta_cohorts(bars_of_brands(spark, d), "b11")
+    b = bars_of_brands(spark, d)
+    x = X.padded(b, X.market_calendar(b)).where("symbol <> 'b11'")
+    c, w = F.col("close").cast("double"), S.by_symbol()
+    x = x.withColumn("mom", F.lag(c, 21).over(w) / F.lag(c, 147).over(w) - 1.0)
+    return x.withColumn("rank", X.pct_rank("mom", "date")).where(F.col("rank") >= 1 - 0.2).select("symbol", "date")
 
 
 @query("x6_rolling_beta", f"""{BRA}, j AS (SELECT a.symbol, a.date, a.ret, b.ret AS b FROM r a JOIN r b ON a.date = b.date AND b.symbol = 'b11' WHERE a.symbol <> 'b11' AND a.ret IS NOT NULL AND b.ret IS NOT NULL)
@@ -84,9 +98,10 @@ def _(spark, d):
     return j.select("symbol", "date", F.round(F.when(F.count("*").over(w) >= 126, F.covar_samp("ret", "b").over(w) / F.var_samp("b").over(w)), 5).alias("beta"))
 
 
-_MASKS = """vm AS (SELECT symbol, date, volume, close, CASE WHEN count(*) OVER y >= 60 THEN volume >= max(volume) OVER y END AS year_high, CASE WHEN count(*) OVER e >= 60 THEN volume >= max(volume) OVER e END AS ever_high, lag(volume) OVER w AS prior FROM bars
+_MASKS = """vm AS (SELECT symbol, date, volume, close, coalesce(CASE WHEN count(*) OVER y >= 60 THEN volume >= max(volume) OVER y END AND volume > 0, FALSE) AS year_high, coalesce(CASE WHEN count(*) OVER e >= 60 THEN volume >= max(volume) OVER e END AND volume > 0, FALSE) AS ever_high, lag(volume) OVER w AS prior,
+    close / lag(close) OVER w - 1 AS chg, max(close) OVER y AS hi52 FROM bars
   WINDOW w AS (PARTITION BY symbol ORDER BY date), y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING), e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
-  vx AS (SELECT symbol, date, year_high, ever_high, CASE WHEN count(prior) OVER m >= 20 THEN volume / median(prior) OVER m END AS rvol, close / 100000.0 * volume AS dollar, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM vm WINDOW m AS (PARTITION BY symbol ORDER BY date ROWS 50 PRECEDING))"""
+  vx AS (SELECT symbol, date, close, chg, hi52, year_high, ever_high, CASE WHEN count(prior) OVER m >= 20 THEN volume / median(prior) OVER m END AS rvol, close / 100000.0 * volume AS dollar, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM vm WINDOW m AS (PARTITION BY symbol ORDER BY date ROWS 50 PRECEDING))"""
 
 
 @query("x10_volume_masks", f"{BRA}, {_MASKS} SELECT symbol, date, year_high, ever_high, round(rvol, 6) AS rvol FROM vx")
@@ -94,24 +109,55 @@ def _(spark, d):
     return r6(X.volume_masks(bars_of_brands(spark, d)).select("symbol", "date", "year_high", "ever_high", "rvol"), "rvol")
 
 
-@query("x12_volume_edge", f"{BRA}, {_MASKS} SELECT symbol, max(date) AS date, round(arg_max(rvol, date), 6) AS rvol FROM vx WHERE k <= 60 AND (year_high OR ever_high) AND dollar >= 1000 GROUP BY symbol")
+@query("x10_no_volume", f"WITH {BRANDS_SQL.replace('bars AS', 'b0 AS', 1)}, bars AS (SELECT * REPLACE (CASE WHEN symbol = 'b11' THEN 0 ELSE volume END AS volume) FROM b0), {_MASKS} SELECT symbol, CAST(sum(CAST(year_high AS INT)) AS BIGINT) AS year_highs, CAST(sum(CAST(ever_high AS INT)) AS BIGINT) AS ever_highs FROM vx GROUP BY symbol")
 def _(spark, d):
-    return r6(X.volume_edge(bars_of_brands(spark, d), 60, 1000).select("symbol", "date", "rvol"), "rvol")
+    b = bars_of_brands(spark, d).withColumn("volume", F.when(F.col("symbol") == "b11", 0).otherwise(F.col("volume")).cast("long"))
+    return X.volume_masks(b).groupBy("symbol").agg(*(F.sum(F.col(c).cast("long")).alias(c + "s") for c in ("year_high", "ever_high")))
 
 
-@query("x11_tight_flags")
+@query("x12_volume_edge", f"""{BRA}, {_MASKS}, ends AS (SELECT symbol, max(close) FILTER (WHERE k = 1) AS last, max(close) FILTER (WHERE k = 6) AS week FROM vx GROUP BY symbol), h AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS j FROM vx WHERE n >= 65 AND k <= 60 AND year_high AND dollar >= 1000)
+  SELECT symbol, date, ever_high, ever_high AND n < 252 AS ipo_high, round(rvol, 6) AS rvol, round(chg, 6) AS chg, round(last / hi52 - 1, 6) AS off_high, round(dollar / 1e6, 6) AS dvol_m, round(last / week - 1, 6) AS r1w FROM h JOIN ends USING (symbol) WHERE j = 1""")
 def _(spark, d):
-    return X.tight_flags(bars_of_orders(spark, d), gain=0.5)
+    return r6(X.volume_edge(bars_of_brands(spark, d), 60, 1000), "rvol", "chg", "off_high", "dvol_m", "r1w")
+
+
+#: Orders' sessions with closes that double in 40 sessions and then rest for 80, of which each session differs a little.
+_LEVEL = "100 * pow(2.2, floor((k - 1) / 120)) * pow(2.2, least((k - 1) % 120, 40) / 40.0) * (1 + (volume % 5) / 100.0)"
+_RAMP = f"WITH {ORDERS_SQL.replace('bars AS', 'b0 AS', 1)}, b1 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM b0), bars AS (SELECT symbol, date, CAST(round({_LEVEL}, 2) * 100000 AS BIGINT) AS close, volume FROM b1)"
 
 
-@query("x14_counts", f"{BRA}, {_CAL}, {_MASKS} SELECT cal.date, CAST(coalesce(sum(CAST(year_high AS INT)), 0) AS BIGINT) AS n FROM cal LEFT JOIN vx ON vx.date = cal.date GROUP BY cal.date")
+def ramped(spark, d):
+    b = bars_of_orders(spark, d).withColumn("k", F.row_number().over(S.by_symbol()))
+    return b.select("symbol", "date", (F.round(F.expr(_LEVEL), 2) * 100000).cast("long").alias("close"), "volume")
+
+
+_HS = range(10, 36)
+_FLAGS = f"""f0 AS (SELECT symbol, date, CAST(close AS DOUBLE) AS c, volume, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, CASE WHEN count(*) OVER y >= 252 THEN max(close) OVER y END AS hi, CASE WHEN count(*) OVER r >= 40 THEN min(close) OVER r END AS base FROM bars WINDOW y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING), r AS (PARTITION BY symbol ORDER BY date ROWS 39 PRECEDING)),
+  f1 AS (SELECT *, {', '.join(f"lag(c, {h}) OVER w AS p{h}, lag(hi, {h}) OVER w AS t{h}, lag(c, {h}) OVER w / lag(base, {h}) OVER w - 1 AS g{h}, min(c) OVER (PARTITION BY symbol ORDER BY date ROWS {h - 1} PRECEDING) AS m{h}" for h in _HS)} FROM f0 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+  f2 AS ({' UNION ALL '.join(f"SELECT symbol, date, rn, {h} AS h, g{h} AS g, 1 - m{h} / p{h} AS pull FROM f1 WHERE n >= 292 AND g{h} >= 1.0 AND 1 - m{h} / p{h} <= 0.25 AND p{h} >= t{h} * (1 - 0.05) AND c >= hi * (1 - 0.15)" for h in _HS)}),
+  fl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY g DESC, h) AS j FROM f2) WHERE j = 1)"""
+
+
+@query("x11_tight_flags", f"{_RAMP}, {_FLAGS} SELECT symbol, date, round(g, 6) AS gain, h AS flag, round(pull, 6) AS pull FROM fl")
 def _(spark, d):
-    b = bars_of_brands(spark, d)
-    return X.counts_through_time(X.volume_masks(b), X.market_calendar(b), "year_high")
+    return r6(X.tight_flags(ramped(spark, d)), "gain", "pull")
 
 
-@query("x15_leaderboard", f"""{BRA}, a AS (SELECT symbol, date, close / lag(close, 5) OVER w - 1 AS r1w, close / lag(close, 21) OVER w - 1 AS r1m, close / lag(close, 63) OVER w - 1 AS r3m, lag(close, 5) OVER w / lag(close, 26) OVER w - 1 AS p, rn FROM r WINDOW w AS (PARTITION BY symbol ORDER BY date)),
-  b AS (SELECT *, row_number() OVER (ORDER BY r1m DESC NULLS LAST, symbol) AS rank, row_number() OVER (ORDER BY p DESC NULLS LAST, symbol) AS prev_rank FROM a WHERE rn = 1) SELECT symbol, round(r1w, 6) AS r1w, round(r1m, 6) AS r1m, round(r3m, 6) AS r3m, rank, prev_rank, prev_rank - rank AS change FROM b""")
+@query("x13_flag_list", f"""{_RAMP.replace('FROM b1)', 'FROM b1 WHERE k <= 780)')}, {_FLAGS}, l AS (SELECT symbol, h, g, pull FROM fl WHERE rn = 1), v AS (SELECT f0.symbol, avg(volume) FILTER (WHERE rn <= h) / avg(volume) FILTER (WHERE rn > h AND rn <= h + 40) AS volratio, max(c) FILTER (WHERE rn = 1) / max(c) FILTER (WHERE rn <= 252) - 1 AS off_high FROM f0 JOIN l USING (symbol) GROUP BY f0.symbol)
+  SELECT symbol, round(g, 6) AS gain, h AS flag, round(pull, 6) AS pull, round(volratio, 6) AS volratio, round(off_high, 6) AS off_high FROM l JOIN v USING (symbol)""")
+def _(spark, d):
+    b = ramped(spark, d).withColumn("k", F.row_number().over(S.by_symbol())).where("k <= 780").drop("k")
+    return r6(X.flag_list(b), "gain", "pull", "volratio", "off_high")
+
+
+@query("x14_counts", f"{_RAMP}, {_CAL}, {_MASKS}, {_FLAGS} SELECT cal.date, coalesce(a.flags, 0) AS flags, coalesce(b.highs, 0) AS volume_highs FROM cal LEFT JOIN (SELECT date, count(*) AS flags FROM fl GROUP BY date) a USING (date) LEFT JOIN (SELECT date, count(*) AS highs FROM vx WHERE year_high AND dollar >= 1000 GROUP BY date) b USING (date)")
+def _(spark, d):
+    b = ramped(spark, d)
+    return X.counts_through_time(b, X.market_calendar(b), 1000)
+
+
+@query("x15_leaderboard", f"""{BRA}, a AS (SELECT symbol, date, close / lag(close, 5) OVER w - 1 AS r1w, close / lag(close, 21) OVER w - 1 AS r1m, close / lag(close, 63) OVER w - 1 AS r3m, lag(close, 21) OVER w / lag(close, 42) OVER w - 1 AS p, rn, count(*) OVER (PARTITION BY symbol) AS n FROM r WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+  b AS (SELECT *, row_number() OVER (ORDER BY r1m DESC NULLS LAST, symbol) AS rank, row_number() OVER (ORDER BY p DESC NULLS LAST, symbol) AS prev_rank FROM a WHERE rn = 1 AND n >= 70) SELECT symbol, round(r1w, 6) AS r1w, round(r1m, 6) AS r1m, round(r3m, 6) AS r3m, rank, prev_rank, prev_rank - rank AS change FROM b""")
 def _(spark, d):
     b = bars_of_brands(spark, d)
     x = X.leaderboard(b, b.select("symbol").distinct().withColumn("ordinal", F.col("symbol")))
@@ -204,14 +250,42 @@ def _picks(spark, d):
     return s, X.rebalance_picks(s, names=5, min_dollar=0.0, min_share=0.3)
 
 
-@query("x19_x20_rebalance_picks")
+#: Scores of all eight factors on the calendar of all dates, month-end picks and their sides; z in both ways.
+_NEED = {"mom121": 252, "mom12": 252, "mom1": 21, "offhigh": 252, "vol": 63, "beta": 252, "ddepth": 252, "trend": 200}
+_ZC = lambda name, over: f"CASE WHEN stddev_pop(c) OVER ({over}) > 0 THEN (c - avg(c) OVER ({over})) / stddev_pop(c) OVER ({over}) ELSE 0 END AS {name}"
+_CLIP = "SELECT *, least(greatest(raw, quantile_cont(raw, 0.01) OVER (PARTITION BY factor, row)), quantile_cont(raw, 0.99) OVER (PARTITION BY factor, row)) AS c FROM"
+_FAC = f"""fr AS (SELECT date, row_number() OVER (ORDER BY date) AS row FROM (SELECT DISTINCT date FROM bars)), fg AS (SELECT s.symbol, fr.date, fr.row, CAST(b.close AS DOUBLE) AS close, CAST(b.adj_close AS DOUBLE) AS adj, b.close / 100000.0 * b.volume AS dv FROM fr CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.symbol = s.symbol AND b.date = fr.date),
+  fs AS (SELECT *, close / lag(close) OVER w - 1 AS ret, adj / lag(adj) OVER w - 1 AS ret_adj FROM fg WINDOW w AS (PARTITION BY symbol ORDER BY row)), fb AS (SELECT row, ret AS b FROM fs WHERE symbol = 'b11'),
+  fx AS (SELECT fs.*, b, min(CASE WHEN close IS NOT NULL THEN fs.row END) OVER (PARTITION BY symbol) AS first_row, CASE WHEN count(dv) OVER d20 >= 10 THEN median(dv) OVER d20 END AS dollar, lag(close, 21) OVER w / lag(close, 252) OVER w - 1 AS mom121, close / lag(close, 252) OVER w - 1 AS mom12, close / lag(close, 21) OVER w - 1 AS mom1, close / max(close) OVER y - 1 AS offhigh,
+    stddev_pop(ret) OVER v * sqrt(252) AS vol, covar_pop(ret, b) OVER y / nullif(var_pop(b) OVER y, 0) AS beta, (close / avg(close) OVER d20 + close / avg(close) OVER d50 + close / avg(close) OVER d200) / 3 - 1 AS trend, list(close) OVER y AS closes FROM fs LEFT JOIN fb USING (row) WHERE symbol <> 'b11'
+    WINDOW w AS (PARTITION BY symbol ORDER BY fs.row), y AS (PARTITION BY symbol ORDER BY fs.row ROWS 251 PRECEDING), v AS (PARTITION BY symbol ORDER BY fs.row ROWS 62 PRECEDING), d20 AS (PARTITION BY symbol ORDER BY fs.row ROWS 19 PRECEDING), d50 AS (PARTITION BY symbol ORDER BY fs.row ROWS 49 PRECEDING), d200 AS (PARTITION BY symbol ORDER BY fs.row ROWS 199 PRECEDING)),
+  fe AS (SELECT row FROM (SELECT date_trunc('month', date) AS m, max(row) AS row FROM fr GROUP BY m) WHERE row < (SELECT max(row) FROM fr)),
+  fd AS (SELECT * EXCLUDE (closes), list_min([c / list_max(closes[:i]) - 1 FOR c, i IN list_filter(closes, lambda x: x IS NOT NULL)]) AS ddepth FROM (SELECT * REPLACE (list_filter(closes, lambda x: x IS NOT NULL) AS closes) FROM fx JOIN fe USING (row))),
+  fo AS (SELECT *, close / 100000.0 >= 1 AND dollar >= 0 AS fit FROM fd), fm AS (SELECT row FROM fo GROUP BY row HAVING count(*) FILTER (WHERE fit AND first_row <= row - 252) >= 0.3 * (SELECT count(DISTINCT symbol) FROM fo)),
+  fa AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT symbol, date, row, fit, '{k}' AS factor, {k} AS raw FROM fo JOIN fm USING (row) WHERE first_row <= row - {n}" for k, n in _NEED.items())}) WHERE raw IS NOT NULL),
+  fc AS ({_CLIP} fa WHERE fit), fz AS (SELECT *, {_ZC("z", "PARTITION BY factor, row")} FROM fc), fp AS (SELECT *, row_number() OVER (PARTITION BY factor, row ORDER BY round(z, 9) DESC, symbol) AS place, count(*) OVER (PARTITION BY factor, row) AS n FROM fz),
+  pk AS (SELECT factor, date, row, symbol, z, CASE WHEN place <= least(5, n // 2) THEN 'hi' WHEN place > n - least(5, n // 2) THEN 'lo' END AS side FROM fp)"""
+
+
+@query("x19_x20_rebalance_picks", f"{BRA}, {_FAC} SELECT factor, date, row, symbol, round(z, 5) AS z, side FROM pk WHERE side IS NOT NULL")
+def _(spark, d):
+    return _picks(spark, d)[1].withColumn("row", F.col("row").cast("long")).withColumn("z", F.round("z", 5))
+
+
+@query("k4_factor_snapshot", f"""{BRA}, {_FAC}, la AS (SELECT factor, max(row) AS row FROM pk WHERE side IS NOT NULL GROUP BY factor), sc AS ({_CLIP} fa JOIN la USING (factor, row)), sz AS (SELECT *, {_ZC("z_snapshot", "PARTITION BY factor")}, count(*) OVER (PARTITION BY factor) AS scored FROM sc)
+  SELECT pk.factor, side, pk.symbol, round(z_snapshot, 2) AS z_snapshot, scored, count(*) OVER (PARTITION BY pk.factor, side) AS per_side, pk.date FROM pk JOIN la USING (factor, row) JOIN sz ON sz.factor = pk.factor AND sz.symbol = pk.symbol WHERE side IS NOT NULL""")
 def _(spark, d):
-    return _picks(spark, d)[1]
+    return X.factor_snapshot(*_picks(spark, d))
 
 
-@query("x21_factor_levels")
+@query("x21_factor_levels", f"""{BRA}, {_FAC}, rw AS (SELECT factor, row, coalesce(lead(row) OVER (PARTITION BY factor ORDER BY row), (SELECT max(row) FROM fr)) AS nxt FROM (SELECT DISTINCT factor, row FROM pk WHERE side IS NOT NULL)),
+  dy AS (SELECT pk.factor, side, fs.date, avg(ret) AS ret, avg(ret_adj) AS ret_adj FROM pk JOIN rw USING (factor, row) JOIN fs ON fs.symbol = pk.symbol AND fs.row > pk.row AND fs.row <= nxt WHERE side IS NOT NULL GROUP BY ALL),
+  al AS (SELECT * FROM dy UNION ALL SELECT factor, 'ls', date, h.ret - l.ret, h.ret - l.ret FROM (SELECT * FROM dy WHERE side = 'hi') h JOIN (SELECT * FROM dy WHERE side = 'lo') l USING (factor, date))
+  SELECT 'fac_' || factor || '_' || side AS id, factor, side, date, sign(product(1 + ret) OVER o) * round(ln(abs(100 * product(1 + ret) OVER o)), 6) AS level, sign(product(1 + coalesce(ret_adj, 0)) OVER o) * round(ln(abs(100 * product(1 + coalesce(ret_adj, 0)) OVER o)), 6) AS adj_level FROM al WHERE ret IS NOT NULL WINDOW o AS (PARTITION BY factor, side ORDER BY date ROWS UNBOUNDED PRECEDING)""")
 def _(spark, d):
-    return X.factor_levels(*_picks(spark, d))
+    # the noise of these tables compounds beyond any scale: the signed logarithm of the levels
+    x = X.factor_levels(*_picks(spark, d))
+    return x.select("id", "factor", "side", "date", *((F.signum(c) * F.round(F.log(F.abs(c)), 6)).alias(c) for c in ("level", "adj_level")))
 
 
 @query("x33_validate", f"""{BRA}, g AS (SELECT symbol, count(*) AS n, count(*) - count(DISTINCT date) AS dup_dates, CAST(sum(CAST(open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 AS INT)) AS BIGINT) AS bad_prices, CAST(sum(CAST(high < low OR high < greatest(open, close) OR low > least(open, close) AS INT)) AS BIGINT) AS inverted, CAST(sum(CAST(high = low AS INT)) AS BIGINT) AS flat, max(gap) AS max_gap, max(date) AS last_date
@@ -221,6 +295,8 @@ def _(spark, d):
     return X.validate(bars_of_brands(spark, d), gaps={})
 
 
-@query("x33_verdict")
+@query("x33_verdict", f"""{BRA}, g AS (SELECT symbol, count(*) - count(DISTINCT date) AS dup_dates, sum(CAST(open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 AS INT)) AS bad_prices, sum(CAST(high < low OR high < greatest(open, close) OR low > least(open, close) AS INT)) AS inverted, max(gap) AS max_gap, max(date) AS last_date FROM (SELECT *, date - lag(date) OVER (PARTITION BY symbol ORDER BY date) AS gap FROM bars) GROUP BY symbol),
+  ref AS (SELECT last_date AS reference FROM (SELECT last_date, count(*) AS k FROM g GROUP BY last_date) ORDER BY k DESC, last_date DESC LIMIT 1), t AS (SELECT count(*) AS files, CAST(sum(dup_dates) AS BIGINT) AS dups, CAST(sum(bad_prices) AS BIGINT) AS bad, CAST(sum(inverted) AS BIGINT) AS inverted, CAST(sum(CAST(last_date < reference - 3 AS INT)) AS BIGINT) AS stale, CAST(sum(CAST(max_gap > 10 AS INT)) AS BIGINT) AS gapped, 0 AS core_stale FROM g, ref)
+  SELECT *, dups > 0 OR bad > 0 OR inverted > 0 OR stale > 0.02 * files OR gapped > 0.02 * files AS failed FROM t""")
 def _(spark, d):
     return X.verdict(X.validate(bars_of_brands(spark, d), gaps={}))
