@@ -149,3 +149,53 @@ def dynamic_histogram(df: DataFrame, value: str) -> DataFrame:
     ends = df.agg(F.floor(F.min(v)).alias("lo"), F.ceil(F.max(v)).alias("hi"))
     b = df.where(F.col(value).isNotNull()).join(F.broadcast(ends)).withColumn("bin", F.least(F.floor(v), F.greatest(F.col("hi") - 1, F.col("lo"))))
     return b.groupBy("bin").agg(F.count("*").alias("n"))
+
+
+#: Two-sided 5 % points of t for 1 to 30 degrees of freedom, to two digits.
+T_POINTS = (12.71, 4.30, 3.18, 2.78, 2.57, 2.45, 2.36, 2.31, 2.26, 2.23, 2.20, 2.18, 2.16, 2.14, 2.13, 2.12, 2.11, 2.10, 2.09, 2.09, 2.08, 2.07, 2.07, 2.06, 2.06, 2.06, 2.05, 2.05, 2.05, 2.04)
+
+
+def t_critical(df: str | Column) -> Column:
+    """The two-sided 5 % point of t as a page computes it: a table up to 30, an approximation beyond, null below 1."""
+    n = F.col(df) if isinstance(df, str) else df
+    return F.when((n >= 1) & (n <= 30), F.get(F.array(*(F.lit(x) for x in T_POINTS)), (n - 1).cast("int"))).when(n > 30, 1.96 + 2.4 / n)
+
+
+def row_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """n, up, mean, t, ci_lo, ci_hi of outcomes in per cent, from rows: what stands in for a study that was not kept."""
+    v = F.col(value)
+    g = df.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg((v > 0).cast("double")).alias("up"), F.avg(v).alias("m"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"))
+    se = F.col("sd") / F.sqrt("n")
+    half = F.when(F.col("sd") > 0, t_critical(F.col("n") - 1) * se).otherwise(0.0)
+    return g.select(*keys, "n", F.round(F.col("up") * 100, 2).alias("up"), F.round("m", 3).alias("mean"), F.when(F.col("sd") > 0, F.round(F.col("m") / se, 2)).alias("t"), F.round(F.col("m") - half, 3).alias("ci_lo"), F.round(F.col("m") + half, 3).alias("ci_hi"))
+
+
+def span_of(df: DataFrame, years: int | None, date: str = "date") -> DataFrame:
+    """The rows of the last years up to the last date, that date's day of years ago included; None: all."""
+    if years is None:
+        return df
+    top = df.agg(F.add_months(F.max(date), -12 * years).alias("__cut"))
+    return df.join(F.broadcast(top)).where(F.col(date) >= F.col("__cut")).drop("__cut")
+
+
+def colour_scale(df: DataFrame, value: str, n: str, thin: int = 60) -> DataFrame:
+    """The cells with ``scale``, the size that nine tenths of all stay under, their share of it from -1 to 1, and whether they are thin."""
+    size = df.where(F.col(value).isNotNull()).agg(F.array_sort(F.collect_list(F.abs(value))).alias("a"))  # a heat map's cells: hundreds
+    at = F.get("a", F.floor(F.size("a") * 0.9).cast("int"))
+    scale = size.select(F.greatest(F.lit(1e-6), F.coalesce(at, F.lit(0.1))).alias("scale"))
+    shade = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(value) / F.col("scale")))
+    return df.join(F.broadcast(scale)).withColumn("shade", shade).withColumn("thin", F.col(n) < thin)
+
+
+def envelope(df: DataFrame, value: str, columns: int = 950, most: int = 3000, date: str = "date") -> DataFrame:
+    """A line thinned for drawing: of each symbol with more than ``most`` points, the deepest (of ties the first) and the last of each column of pixels."""
+    from pyspark.sql import Window as W
+
+    whole = W.partitionBy("symbol")
+    day = F.unix_date(date)
+    x = df.withColumn("__n", F.count("*").over(whole)).withColumn("__0", F.min(day).over(whole)).withColumn("__1", F.max(day).over(whole))
+    x = x.withColumn("__c", F.floor((day - F.col("__0")) / F.greatest(F.col("__1") - F.col("__0"), F.lit(1)) * columns))
+    w = W.partitionBy("symbol", "__c")
+    deep = F.row_number().over(w.orderBy(F.asc_nulls_last(value), date)) == 1
+    last = F.row_number().over(w.orderBy(F.desc(date))) == 1
+    return x.withColumn("__keep", (F.col("__n") <= most) | deep | last).where("__keep").select(*df.columns)

@@ -48,13 +48,12 @@ def volume_signals(bars: DataFrame, window: int = 50, below: float = 0.5, horizo
 
 
 def volume_study(bars: DataFrame, **kw) -> DataFrame:
-    """By horizon: outcomes after low volume beside those of all sessions, pooled."""
+    """By horizon: outcomes after low volume beside those of all sessions, pooled; an episode is a session of low volume with an outcome."""
     d = volume_signals(bars, **kw)
     names = [c for c in d.columns if c.startswith("fwd")]
-    start = d.withColumn("episode", (F.col("low_volume") & ~F.coalesce(F.lag("low_volume").over(S.by_symbol()), F.lit(False))).cast("long"))
-    long = start.select("low_volume", "episode", F.explode(F.array(*(F.struct(F.lit(int(c[3:])).alias("horizon"), F.col(c).alias("ret")) for c in names))).alias("x")).select("low_volume", "episode", "x.*").where("ret is not null")
+    long = d.select("low_volume", F.explode(F.array(*(F.struct(F.lit(int(c[3:])).alias("horizon"), F.col(c).alias("ret")) for c in names))).alias("x")).select("low_volume", "x.*").where("ret is not null")
     low = F.when(F.col("low_volume"), F.col("ret"))
-    return long.groupBy("horizon").agg(F.count(low).alias("n"), F.sum("episode").alias("episodes"), (F.avg(low) * 100).alias("mean_pct"), F.avg((low > 0).cast("double")).alias("win_rate"), (F.avg("ret") * 100).alias("base_mean_pct"), F.avg((F.col("ret") > 0).cast("double")).alias("base_win_rate"))
+    return long.groupBy("horizon").agg(F.count(low).alias("n"), F.count(low).alias("episodes"), (F.avg(low) * 100).alias("mean_pct"), F.avg((low > 0).cast("double")).alias("win_rate"), (F.avg("ret") * 100).alias("base_mean_pct"), F.avg((F.col("ret") > 0).cast("double")).alias("base_win_rate"))
 
 
 # ---------------------------------------------------------------- betas
@@ -247,36 +246,43 @@ def horizon_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 21, 63,
     return g.select("symbol", "as_of", *(((F.col("p0") / F.col(f"p{k}") - 1) * 100).alias(f"r{k}") for k in horizons), ((F.col("p0") / F.col("py") - 1) * 100).alias("ytd"))
 
 
-def relative_volume(bars: DataFrame, windows: tuple[int, ...] = (1, 5, 21), base: int = 252, least: int = 20) -> DataFrame:
-    """Mean positive volume of the last k sessions over that of the ``base`` sessions before them."""
-    x = bars.withColumn("rn", F.row_number().over(S.latest_first())).withColumn("v", F.when(F.col("volume") > 0, F.col("volume").cast("double")))
+def relative_volume(bars: DataFrame, windows: tuple[int | str, ...] = (1, 5, 21, 63, 126, "ytd", 252, 756, 1260), base: int = 252, least: int = 20) -> DataFrame:
+    """Mean positive volume of the last k sessions (or of the last session's year) over that of the ``base`` sessions before them."""
+    whole = W.partitionBy("symbol")
+    x = bars.withColumn("rn", F.row_number().over(S.latest_first())).withColumn("v", F.when(F.col("volume") > 0, F.col("volume").cast("double"))).withColumn("n", F.count("*").over(whole))
+    x = x.withColumn("year", F.sum((F.year("date") == F.year(F.max("date").over(whole))).cast("int")).over(whole))
     cols = []
-    for k in windows:
+    for name in windows:
+        k = F.col("year") if name == "ytd" else F.lit(name)
         before = F.when((F.col("rn") > k) & (F.col("rn") <= k + base), F.col("v"))
-        cols.append(F.when(F.count(before) >= least, F.avg(F.when(F.col("rn") <= k, F.col("v"))) / F.avg(before)).alias(f"rv{k}"))
+        cols.append(F.when((F.count(before) >= least) & (F.max(F.col("n") - k) >= 0), F.avg(F.when(F.col("rn") <= k, F.col("v"))) / F.avg(before)).alias(f"rv{name}" if name != "ytd" else "rvytd"))
     return x.groupBy("symbol").agg(*cols)
 
 
-def leader_rows(bars: DataFrame) -> DataFrame:
-    """The last session of each symbol: distance from 52-week high and low, from averages, volatility and traded value."""
-    x = bars.withColumn("ret", S.lag_ret()).withColumn("rn", F.row_number().over(S.latest_first()))
+def leader_rows(bars: DataFrame, least: int = 30) -> DataFrame:
+    """The last session of each symbol with enough of them: distance from the highest and lowest close of a year, from averages, volatility of log returns and traded millions."""
+    c = F.when(F.col("close") > 0, F.col("close").cast("double"))
+    x = bars.withColumn("ret", F.log(c) - F.log(F.lag(c).over(S.by_symbol()))).withColumn("rn", F.row_number().over(S.latest_first()))
     near = lambda c, k: F.when(F.col("rn") <= k, c)
     last = F.max(near(F.col("close"), 1)).cast("double")
-    avg = lambda k: F.when(F.count("*") >= k, F.sum(near(F.col("close"), k)).cast("double") / k)
-    return x.groupBy("symbol").agg(
-        F.max("date").alias("as_of"), (last / F.lit(100000.0)).alias("close"), ((last / F.max(near(F.col("high"), 252)) - 1) * 100).alias("off52"), ((last / F.min(near(F.col("low"), 252)) - 1) * 100).alias("up52"), ((last / avg(50) - 1) * 100).alias("ma50"), ((last / avg(200) - 1) * 100).alias("ma200"),
-        (F.stddev_pop(near(F.col("ret"), 126)) * F.sqrt(F.lit(252.0)) * 100).alias("vol"), F.avg(near(F.col("close") / F.lit(100000.0) * F.col("volume"), 63)).alias("adv"),
+    of = lambda k, c: F.when(F.count("*") >= k, c)
+    avg = lambda k: of(k, F.sum(near(F.col("close"), k)).cast("double") / k)
+    g = x.groupBy("symbol").agg(
+        F.count("*").alias("sessions"), F.max("date").alias("as_of"), (last / F.lit(100000.0)).alias("close"), (of(60, last / F.max(near(F.col("close"), 252)) - 1) * 100).alias("off52"), (of(60, last / F.min(near(F.col("close"), 252)) - 1) * 100).alias("up52"), ((last / avg(50) - 1) * 100).alias("ma50"), ((last / avg(200) - 1) * 100).alias("ma200"),
+        of(61, F.stddev_pop(near(F.col("ret"), 126)) * F.sqrt(F.lit(252.0)) * 100).alias("vol"), of(63, F.avg(near(F.col("close") / F.lit(100000.0) * F.col("volume"), 63)) / 1e6).alias("adv"),
     )
+    return g.where(F.col("sessions") >= least).drop("sessions")
 
 
-def sigma_moves(bars: DataFrame, k: int = 5) -> DataFrame:
-    """How unusual the latest k-session return is among all earlier ones: deviations, and how many were as large."""
+def sigma_moves(bars: DataFrame, k: int = 5, least: int = 4) -> DataFrame:
+    """How unusual the latest k-session return is among all earlier ones: deviations, and how many were as far from their mean."""
     r = bars.select("symbol", "date", S.lag_ret(k=k).alias("r"), F.row_number().over(S.latest_first()).alias("rn")).where("r is not null")
-    cur = F.max(F.when(F.col("rn") == 1, F.col("r"))).over(W.partitionBy("symbol"))
-    x = r.withColumn("cur", F.round(cur * 100, 2) / 100)
+    whole = W.partitionBy("symbol")
     old = F.when(F.col("rn") > 1, F.col("r"))
-    g = x.groupBy("symbol").agg(F.max("cur").alias("cur"), F.avg(old).alias("m"), F.stddev_samp(old).alias("sd"), F.sum((F.abs(old) >= F.abs("cur")).cast("long")).alias("as_large"), F.count(old).alias("n"))
-    return g.where(F.col("n") > 4).select("symbol", (F.col("cur") * 100).alias("move_pct"), F.when(F.col("sd") > 0, F.abs(F.col("cur") - F.col("m")) / F.col("sd")).alias("sigma"), "as_large", "n")
+    x = r.withColumn("cur", F.round(F.max(F.when(F.col("rn") == 1, F.col("r"))).over(whole) * 100, 2) / 100).withColumn("m", F.avg(old).over(whole)).withColumn("sd", F.stddev_samp(old).over(whole)).withColumn("old", old)
+    far = F.abs(F.col("cur") - F.col("m"))
+    g = x.groupBy("symbol").agg((F.max("cur") * 100).alias("move_pct"), F.max(F.when(F.col("sd") > 0, far / F.col("sd"))).alias("sigma"), F.sum((F.abs(F.col("old") - F.col("m")) >= far).cast("long")).alias("as_large"), F.count("old").alias("n"))
+    return g.where((F.col("n") >= least) & F.col("sigma").isNotNull())
 
 
 def move_context(bars: DataFrame, last: int = 5) -> DataFrame:
@@ -296,20 +302,33 @@ def rebase(bars: DataFrame, calendar: DataFrame, price: str = "close") -> DataFr
     return x.select("symbol", "date", F.round(F.col("p") * 100.0 / first, 3).alias("level"))
 
 
-def dividend_steps(bars: DataFrame, tolerance: float = 2e-5) -> DataFrame:
-    """Where the ratio of total to price return, normalised to its last value, leaves the last step given."""
+def dividend_steps(bars: DataFrame, calendar: DataFrame, tolerance: float = 2e-5) -> DataFrame:
+    """symbol, k, date, factor: where total return, on one calendar and beside price from 1.0 on, leaves the last step given.
+
+    ``k`` counts sessions from the symbol's first.  A symbol without steps after the
+    first, or whose adjusted price has a gap at its start, gives none.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        ratio = (pdf["adj_close"] / pdf["close"]).to_numpy(float)
-        ratio = ratio / ratio[-1]
-        keep, held = [], None
-        for i, v in enumerate(ratio):
-            if held is None or abs(v / held - 1) > tolerance:
-                keep.append(i)
-                held = v
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[keep].to_numpy(), "date": pdf["date"].iloc[keep].to_numpy(), "factor": [float(f"{ratio[i]:.7g}") for i in keep]})
-
-    return bars.select("symbol", "date", "close", "adj_close").groupBy("symbol").applyInPandas(run, "symbol string, date date, factor double")
+        p, t = pdf["close"].to_numpy(float), pdf["adj_close"].to_numpy(float)
+        keep, values = [], []
+        if len(p) and not np.isnan(t).any() and t[0] > 0:
+            f = (t / t[0]) / (p / p[0])
+            k = 0
+            while k < len(f):
+                keep.append(k)
+                values.append(float(f"{f[k]:.7g}"))
+                far = np.flatnonzero(np.abs(f[k + 1 :] / values[-1] - 1) > tolerance)
+                if not len(far):
+                    break
+                k += 1 + int(far[0])
+            if len(keep) == 1 and values[0] == 1.0:
+                keep, values = [], []
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[keep].to_numpy(), "k": np.array(keep, np.int32), "date": pdf["date"].iloc[keep].to_numpy(), "factor": np.array(values, float)})
+
+    x = S.on_calendar(bars.select("symbol", "date", "close", "adj_close"), calendar)
+    x = x.select("symbol", "date", S.last_known("close").alias("close"), S.last_known("adj_close").alias("adj_close")).where("close is not null")
+    return x.groupBy("symbol").applyInPandas(run, "symbol string, k int, date date, factor double")
 
 
 def reaction_sessions(events: DataFrame, bars: DataFrame) -> DataFrame:
@@ -361,6 +380,36 @@ def regime_masks(close: DataFrame, calendar_symbol: str, ma: int = 200) -> DataF
     return x.select("date", "symbol", F.explode(named).alias("x")).select("date", F.concat_ws("_", "symbol", "x.rule").alias("regime"), "x.on")
 
 
+def regimes(close: DataFrame, calendar_symbol: str, rules: dict[str, tuple], ma: int = 200, look: int = 63) -> DataFrame:
+    """date, regime, on by named rules, on one calendar, carried forward; a rule is (kind, symbol, threshold) or (kind, symbol, other, threshold).
+
+    Kinds: ``above`` and ``below`` the average of ``ma`` sessions; ``over`` and ``under``
+    a level; ``up`` and ``down`` by points, ``gain`` and ``loss`` by a share, over
+    ``look`` sessions; ``leads`` and ``lags`` as gain and loss of the ratio of two symbols.
+    """
+    cal = close.where(F.col("symbol") == calendar_symbol).select("date")
+    names = sorted({x for r in rules.values() for x in r[1:] if isinstance(x, str)})
+    x = S.on_calendar(close.where(F.col("symbol").isin(names)).select("symbol", "date", "close"), cal).withColumn("close", S.to_price_col_of(S.last_known("close")))
+    # a row for each date, so the windows below are short
+    x = x.groupBy("date").agg(*(F.max(F.when(F.col("symbol") == n, F.col("close"))).alias(n) for n in names)).withColumn("symbol", F.lit("all"))
+    back = lambda c: F.lag(c, look).over(S.by_symbol())
+
+    def met(kind: str, name: str, *rest) -> Column:
+        v = F.col(name)
+        if kind in ("above", "below"):
+            mean = S.rolling(F.avg, name, ma)
+            return v > mean if kind == "above" else v < mean
+        if kind in ("over", "under"):
+            return v > rest[0] if kind == "over" else v < rest[0]
+        if kind in ("leads", "lags"):
+            v = v / F.col(rest[0])
+        moved = v - back(v) if kind in ("up", "down") else v / back(v) - 1.0
+        return moved > rest[-1] if kind in ("up", "gain", "leads") else moved < -rest[-1]
+
+    on = F.array(*(F.struct(F.lit(k).alias("regime"), F.coalesce(met(*r), F.lit(False)).alias("on")) for k, r in rules.items()))
+    return x.select("date", on.alias("x")).select("date", F.explode("x").alias("x")).select("date", "x.regime", "x.on")
+
+
 def mask_string(masks: DataFrame) -> DataFrame:
     """regime, n and the mask as a string of 0 and 1 in the order of dates."""
     bit = F.col("on").cast("int").cast("string")

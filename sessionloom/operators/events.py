@@ -96,12 +96,12 @@ def summarize_event(study: DataFrame, *keys: str) -> DataFrame:
     return stats.summarize(study.where("outcome_ret is not null"), "outcome_ret", *keys)
 
 
-def compare_regimes(bars: DataFrame, symbol: str | None, regimes: dict[str, str], **study) -> DataFrame:
-    """Statistics under each named condition, from one pass: every row is counted for the gates it meets."""
+def compare_regimes(bars: DataFrame, symbol: str | None, regimes: dict[str, str | None], **study) -> DataFrame:
+    """Statistics under each named condition (None: under any), from one pass: every row is counted for the gates it meets."""
     base = event_study(bars, symbol, **study)
-    trees = {name: gate.parse(when) for name, when in regimes.items()}
-    wide = gate.gated(base, bars, set().union(*(gate.features(t) for t in trees.values())), "trigger_date")
-    met = F.array_compact(F.array(*(F.when(gate.column(t), F.lit(name)) for name, t in trees.items())))
+    trees = {name: when and gate.parse(when) for name, when in regimes.items()}
+    wide = gate.gated(base, bars, set().union(*(gate.features(t) for t in trees.values() if t)), "trigger_date")
+    met = F.array_compact(F.array(*(F.when(gate.column(t) if t else F.lit(True), F.lit(name)) for name, t in trees.items())))
     return summarize_event(wide.select("symbol", "outcome_ret", F.explode(met).alias("regime")), "symbol", "regime")
 
 

@@ -130,7 +130,8 @@ def audit_causal(bars: DataFrame, sessions: int = 60) -> DataFrame:
         pdf = pdf.sort_values("date")
         s = Series(pdf)
         at = range(YOUNGEST, s.n - sessions, max(1, s.n // 20))
-        same = [state_at(s, t).__dict__ == state_at(Series(pdf.iloc[: t + 1]), t).__dict__ or state_at(s, t).kind == "none" for t in at]
+        told = lambda x: (x.kind, x.label, x.age)
+        same = [told(state_at(s, t)) == told(state_at(Series(pdf.iloc[: t + 1]), t)) for t in at]
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "checked": [len(same)], "causal": [all(same)]})
 
     return prepare(bars).groupBy("symbol").applyInPandas(run, "symbol string, checked int, causal boolean")

@@ -47,7 +47,7 @@ class Limits:
 def prepare(bars: DataFrame) -> DataFrame:
     """Prices with log return, yearly volatility of 60, average true range of 20, and volume over the median of the 250 before."""
     w = S.by_symbol()
-    x = S_priced(bars).withColumn("r", F.log("close") - F.log(F.lag("close").over(w))).withColumn("prev", F.lag("close").over(w)).withColumn("v1", F.lag(F.col("volume").cast("double")).over(w))
+    x = S_priced(bars).where("close > 0").withColumn("r", F.log("close") - F.log(F.lag("close").over(w))).withColumn("prev", F.lag("close").over(w)).withColumn("v1", F.lag(F.col("volume").cast("double")).over(w))
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev")))
     x = x.withColumn("tr", tr)
     return x.select("symbol", "date", "high", "low", "close", F.col("volume").cast("double").alias("volume"), "r", (S.rolling(F.stddev_samp, "r", 60) * F.sqrt(F.lit(252.0))).alias("sigma"), S.rolling(F.avg, "tr", 20).alias("atr"), (F.col("volume") / F.nullif(S.rolling_median("v1", 250, 250), F.lit(0.0))).alias("vn"))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from sessionloom.functions import series as S
+from sessionloom.functions import stats
 from sessionloom.operators import analytics as A
 from sessionloom.plans.registry import query
 from sessionloom.plans.studies import BRA, ORD, r6
@@ -35,9 +36,8 @@ def _(spark, d):
     return r6(A.volume_signals(bars_of_brands(spark, d)), "ratio", "fwd5", "fwd10", "fwd20")
 
 
-@query("a4_low_volume_study", f"""{BRA}, {_VOL}, s AS (SELECT *, ratio < 0.5 AS low FROM v WHERE ratio IS NOT NULL), e AS (SELECT *, CAST(low AND NOT coalesce(lag(low) OVER (PARTITION BY symbol ORDER BY date), FALSE) AS INT) AS ep FROM s),
-  l AS (SELECT low, ep, 5 AS horizon, fwd5 AS ret FROM e UNION ALL SELECT low, ep, 10, fwd10 FROM e UNION ALL SELECT low, ep, 20, fwd20 FROM e)
-  SELECT horizon, count(*) FILTER (WHERE low) AS n, CAST(sum(ep) AS BIGINT) AS episodes, round(avg(ret) FILTER (WHERE low) * 100, 6) AS mean_pct, round(avg(CAST(ret > 0 AS INT)) FILTER (WHERE low), 6) AS win_rate, round(avg(ret) * 100, 6) AS base_mean_pct, round(avg(CAST(ret > 0 AS INT)), 6) AS base_win_rate FROM l WHERE ret IS NOT NULL GROUP BY horizon""")
+@query("a4_low_volume_study", f"""{BRA}, {_VOL}, s AS (SELECT *, ratio < 0.5 AS low FROM v WHERE ratio IS NOT NULL), l AS (SELECT low, 5 AS horizon, fwd5 AS ret FROM s UNION ALL SELECT low, 10, fwd10 FROM s UNION ALL SELECT low, 20, fwd20 FROM s)
+  SELECT horizon, count(*) FILTER (WHERE low) AS n, count(*) FILTER (WHERE low) AS episodes, round(avg(ret) FILTER (WHERE low) * 100, 6) AS mean_pct, round(avg(CAST(ret > 0 AS INT)) FILTER (WHERE low), 6) AS win_rate, round(avg(ret) * 100, 6) AS base_mean_pct, round(avg(CAST(ret > 0 AS INT)), 6) AS base_win_rate FROM l WHERE ret IS NOT NULL GROUP BY horizon""")
 def _(spark, d):
     return r6(A.volume_study(bars_of_brands(spark, d)), "mean_pct", "win_rate", "base_mean_pct", "base_win_rate")
 
@@ -124,20 +124,23 @@ def _(spark, d):
     return r6(x, *x.columns[2:])
 
 
-@query("a34_relative_volume", f"{BRA} SELECT symbol, " + ", ".join(f"round(CASE WHEN count(*) FILTER (WHERE rn > {k} AND rn <= {k + 252} AND volume > 0) >= 20 THEN avg(volume) FILTER (WHERE rn <= {k} AND volume > 0) / avg(volume) FILTER (WHERE rn > {k} AND rn <= {k + 252} AND volume > 0) END, 6) AS rv{k}" for k in (1, 5, 21)) + " FROM r GROUP BY symbol")
+_RV = {f"rv{k}": str(k) for k in (1, 5, 21, 63, 126, 252, 756, 1260)} | {"rvytd": "ytd"}
+
+
+@query("a34_relative_volume", f"{BRA}, z AS (SELECT *, count(*) OVER s AS n, sum(CAST(year(date) = year(last) AS INT)) OVER s AS ytd FROM (SELECT *, max(date) OVER (PARTITION BY symbol) AS last FROM r) WINDOW s AS (PARTITION BY symbol)) SELECT symbol, " + ", ".join(f"round(CASE WHEN max(n - {k}) >= 0 AND count(*) FILTER (WHERE rn > {k} AND rn <= {k} + 252 AND volume > 0) >= 20 THEN avg(volume) FILTER (WHERE rn <= {k} AND volume > 0) / avg(volume) FILTER (WHERE rn > {k} AND rn <= {k} + 252 AND volume > 0) END, 6) AS {c}" for c, k in _RV.items()) + " FROM z GROUP BY symbol")
 def _(spark, d):
-    return r6(A.relative_volume(bars_of_brands(spark, d)), "rv1", "rv5", "rv21")
+    return r6(A.relative_volume(bars_of_brands(spark, d)), *_RV)
 
 
-@query("a35_leader_rows", f"""{BRA} SELECT symbol, max(date) AS as_of, round(max(close) FILTER (WHERE rn = 1) / 100000.0, 6) AS close, round((max(close) FILTER (WHERE rn = 1) / max(high) FILTER (WHERE rn <= 252) - 1) * 100, 6) AS off52, round((max(close) FILTER (WHERE rn = 1) / min(low) FILTER (WHERE rn <= 252) - 1) * 100, 6) AS up52,
-  round(CASE WHEN count(*) >= 50 THEN (max(close) FILTER (WHERE rn = 1) / (sum(close) FILTER (WHERE rn <= 50) / 50) - 1) * 100 END, 6) AS ma50, round(CASE WHEN count(*) >= 200 THEN (max(close) FILTER (WHERE rn = 1) / (sum(close) FILTER (WHERE rn <= 200) / 200) - 1) * 100 END, 6) AS ma200, round(stddev_pop(ret) FILTER (WHERE rn <= 126) * sqrt(252) * 100, 6) AS vol, round(avg(close / 100000.0 * volume) FILTER (WHERE rn <= 63), 4) AS adv FROM r GROUP BY symbol""")
+@query("a35_leader_rows", f"""{BRA}, g AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY date) AS lr FROM r) SELECT symbol, max(date) AS as_of, round(max(close) FILTER (WHERE rn = 1) / 100000.0, 6) AS close, round(CASE WHEN count(*) >= 60 THEN (max(close) FILTER (WHERE rn = 1) / max(close) FILTER (WHERE rn <= 252) - 1) * 100 END, 6) AS off52, round(CASE WHEN count(*) >= 60 THEN (max(close) FILTER (WHERE rn = 1) / min(close) FILTER (WHERE rn <= 252) - 1) * 100 END, 6) AS up52,
+  round(CASE WHEN count(*) >= 50 THEN (max(close) FILTER (WHERE rn = 1) / (sum(close) FILTER (WHERE rn <= 50) / 50) - 1) * 100 END, 6) AS ma50, round(CASE WHEN count(*) >= 200 THEN (max(close) FILTER (WHERE rn = 1) / (sum(close) FILTER (WHERE rn <= 200) / 200) - 1) * 100 END, 6) AS ma200, round(CASE WHEN count(*) >= 61 THEN stddev_pop(lr) FILTER (WHERE rn <= 126) * sqrt(252) * 100 END, 6) AS vol, round(CASE WHEN count(*) >= 63 THEN avg(close / 100000.0 * volume) FILTER (WHERE rn <= 63) / 1e6 END, 9) AS adv FROM g GROUP BY symbol HAVING count(*) >= 30""")
 def _(spark, d):
     x = A.leader_rows(bars_of_brands(spark, d))
-    return r6(x, "close", "off52", "up52", "ma50", "ma200", "vol").withColumn("adv", F.round("adv", 4))
+    return r6(x, "close", "off52", "up52", "ma50", "ma200", "vol").withColumn("adv", F.round("adv", 9))
 
 
-@query("st15_sigma_moves", f"""{BRA}, k AS (SELECT symbol, date, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date) - 1 AS x, rn FROM r), c AS (SELECT *, round(max(x) FILTER (WHERE rn = 1) OVER (PARTITION BY symbol) * 100, 2) / 100 AS cur FROM k WHERE x IS NOT NULL)
-  SELECT symbol, round(max(cur) * 100, 6) AS move_pct, round(CASE WHEN stddev_samp(x) FILTER (WHERE rn > 1) > 0 THEN abs(max(cur) - avg(x) FILTER (WHERE rn > 1)) / stddev_samp(x) FILTER (WHERE rn > 1) END, 6) AS sigma, CAST(sum(CAST(abs(x) >= abs(cur) AS INT)) FILTER (WHERE rn > 1) AS BIGINT) AS as_large, count(*) FILTER (WHERE rn > 1) AS n FROM c GROUP BY symbol HAVING count(*) FILTER (WHERE rn > 1) > 4""")
+@query("st15_sigma_moves", f"""{BRA}, k AS (SELECT symbol, date, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date) - 1 AS x, rn FROM r), c AS (SELECT *, round(max(x) FILTER (WHERE rn = 1) OVER s * 100, 2) / 100 AS cur, avg(x) FILTER (WHERE rn > 1) OVER s AS m, stddev_samp(x) FILTER (WHERE rn > 1) OVER s AS sd FROM k WHERE x IS NOT NULL WINDOW s AS (PARTITION BY symbol))
+  SELECT symbol, round(max(cur) * 100, 6) AS move_pct, round(max(abs(cur - m) / sd), 6) AS sigma, CAST(sum(CAST(abs(x - m) >= abs(cur - m) AS INT)) FILTER (WHERE rn > 1) AS BIGINT) AS as_large, count(*) FILTER (WHERE rn > 1) AS n FROM c GROUP BY symbol HAVING count(*) FILTER (WHERE rn > 1) >= 4 AND max(sd) > 0""")
 def _(spark, d):
     return r6(A.sigma_moves(bars_of_brands(spark, d)), "move_pct", "sigma")
 
@@ -163,10 +166,15 @@ def _(spark, d):
     return A.rebase(b, b.where("symbol = 'b11'"))
 
 
-@query("a39_dividend_steps")
+@query("a39_dividend_steps", f"""{ORD}, c AS (SELECT DISTINCT date FROM bars), a AS (SELECT symbol, date, close, CASE WHEN symbol = 'p5' THEN close ELSE CAST(trunc(close * CASE WHEN date < DATE '1994-01-01' THEN 0.97 WHEN date < DATE '1996-01-01' THEN 0.985 ELSE 1.0 END) AS BIGINT) END AS adj FROM bars),
+  g AS (SELECT s.symbol, c.date, last_value(a.close IGNORE NULLS) OVER w AS p, last_value(a.adj IGNORE NULLS) OVER w AS t FROM c CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN a ON a.symbol = s.symbol AND a.date = c.date WINDOW w AS (PARTITION BY s.symbol ORDER BY c.date)),
+  f AS (SELECT symbol, date, row_number() OVER w - 1 AS k, (t / first_value(t) OVER w) / (p / first_value(p) OVER w) AS f FROM g WHERE p IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY date)), j AS (SELECT *, lag(f) OVER (PARTITION BY symbol ORDER BY date) AS was FROM f),
+  e AS (SELECT symbol, CAST(k AS INT) AS k, date, round(f, 6) AS factor FROM j WHERE was IS NULL OR abs(f / was - 1) > 2e-5) SELECT * FROM e WHERE symbol IN (SELECT symbol FROM e GROUP BY symbol HAVING count(*) > 1)""")
 def _(spark, d):
-    b = bars_of_orders(spark, d).withColumn("adj_close", (F.col("close") * (1 - F.when(F.col("date") < "1996-01-01", 0.01).otherwise(0.0))).cast("long"))
-    return A.dividend_steps(b)
+    b = bars_of_orders(spark, d)
+    share = F.when(F.col("date") < "1994-01-01", 0.97).when(F.col("date") < "1996-01-01", 0.985).otherwise(1.0)
+    b = b.withColumn("adj_close", F.when(F.col("symbol") == "p5", F.col("close")).otherwise((F.col("close") * share).cast("long")))
+    return A.dividend_steps(b, b.select("date").distinct()).withColumn("factor", F.round("factor", 6))
 
 
 _MASK = """m AS (SELECT g.date, g.symbol, last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.date) AS close FROM (SELECT date, s.symbol FROM bars c CROSS JOIN (SELECT DISTINCT symbol FROM bars) s WHERE c.symbol = 'p1') g LEFT JOIN bars b ON b.date = g.date AND b.symbol = g.symbol),
@@ -179,6 +187,51 @@ def _(spark, d):
     return A.mask_string(A.regime_masks(bars_of_orders(spark, d), "p1"))
 
 
+REGIMES = {
+    "trend_up": ("above", "p1"), "trend_down": ("below", "p1"), "calm": ("under", "p2", 100000), "stress": ("over", "p2", 200000), "rates_up": ("up", "p3", 20000), "rates_down": ("down", "p3", 20000),
+    "oil_up": ("gain", "p4", 0.02), "oil_down": ("loss", "p4", 0.02), "credit_on": ("leads", "p5", "p2", 0.01), "credit_off": ("lags", "p5", "p2", 0.01),
+}
+_KINDS = """rg AS (SELECT c.date, b.symbol, b.close / 100000.0 AS v FROM (SELECT DISTINCT date FROM bars WHERE symbol = 'p1') c LEFT JOIN bars b ON b.date = c.date),
+  rp AS (SELECT date, """ + ", ".join(f"last_value(max(v) FILTER (WHERE symbol = 'p{k}') IGNORE NULLS) OVER (ORDER BY date) AS p{k}" for k in range(1, 6)) + """ FROM rg GROUP BY date),
+  rq AS (SELECT *, CASE WHEN count(p1) OVER m >= 200 THEN avg(p1) OVER m END AS ma, p3 - lag(p3, 63) OVER w AS d3, p4 / lag(p4, 63) OVER w - 1 AS c4, (p5 / p2) / lag(p5 / p2, 63) OVER w - 1 AS c5 FROM rp WINDOW w AS (ORDER BY date), m AS (ORDER BY date ROWS 199 PRECEDING)),
+  rm AS (""" + " UNION ALL ".join(f"SELECT date, '{n}' AS regime, coalesce({c}, FALSE) AS ok FROM rq" for n, c in (("trend_up", "p1 > ma"), ("trend_down", "p1 < ma"), ("calm", "p2 < 100000"), ("stress", "p2 > 200000"), ("rates_up", "d3 > 20000"), ("rates_down", "d3 < -20000"), ("oil_up", "c4 > 0.02"), ("oil_down", "c4 < -0.02"), ("credit_on", "c5 > 0.01"), ("credit_off", "c5 < -0.01"))) + ")"
+
+
+@query("a42_regime_kinds", f"{ORD}, {_KINDS} SELECT regime, CAST(sum(CAST(ok AS INT)) AS BIGINT) AS n, string_agg(CAST(CAST(ok AS INT) AS VARCHAR), '' ORDER BY date) AS mask FROM rm GROUP BY regime")
+def _(spark, d):
+    return A.mask_string(A.regimes(bars_of_orders(spark, d), "p1", REGIMES))
+
+
+@query("a43_regime_kind_stats", f"""{ORD}, {_KINDS}, y AS (SELECT symbol, avg(ret) * 252 AS own FROM r WHERE ret IS NOT NULL GROUP BY symbol) SELECT r.symbol, regime, count(*) AS n, round(avg(ret), 6) AS mean, round(avg(CAST(ret > 0 AS INT)), 6) AS hit, round(avg(ret) / (stddev_pop(ret) / sqrt(count(*))), 6) AS t, round(avg(ret) * 252 - any_value(own), 6) AS excess
+  FROM r JOIN rm ON rm.date = r.date AND ok JOIN y ON y.symbol = r.symbol WHERE ret IS NOT NULL GROUP BY r.symbol, regime HAVING stddev_pop(ret) > 0""")
+def _(spark, d):
+    b = bars_of_orders(spark, d)
+    return r6(A.masked_stats(b, A.regimes(b, "p1", REGIMES)).where("t is not null").drop("ann"), "mean", "hit", "t", "excess")
+
+
+@query("f11_colour_scale", f"""{ORD}, {_KINDS}, c AS (SELECT r.symbol, regime, count(*) AS n, avg(ret) * 252 AS ann FROM r JOIN rm ON rm.date = r.date AND ok WHERE ret IS NOT NULL GROUP BY r.symbol, regime), z AS (SELECT greatest(1e-6, list_sort(list(abs(ann)))[1 + CAST(floor(count(*) * 0.9) AS INT)]) AS scale FROM c)
+  SELECT symbol, regime, round(greatest(-1, least(1, ann / scale)), 6) AS shade, n < 60 AS thin FROM c, z""")
+def _(spark, d):
+    b = bars_of_orders(spark, d)
+    c = A.masked_stats(b, A.regimes(b, "p1", REGIMES)).select("symbol", "regime", "n", "ann")
+    return stats.colour_scale(c, "ann", "n").select("symbol", "regime", F.round("shade", 6).alias("shade"), "thin")
+
+
+@query("f10_last_years", f"{BRA} SELECT symbol, count(*) AS n, min(date) AS first_date FROM bars WHERE date >= (SELECT max(date) FROM bars) - INTERVAL 3 YEAR GROUP BY symbol")
+def _(spark, d):
+    return stats.span_of(bars_of_brands(spark, d), 3).groupBy("symbol").agg(F.count("*").alias("n"), F.min("date").alias("first_date"))
+
+
+@query("f12_envelope", f"""{ORD}, c AS (SELECT symbol, date, close, floor((date - min(date) OVER s)::DOUBLE / (max(date) OVER s - min(date) OVER s) * 100) AS col FROM bars WINDOW s AS (PARTITION BY symbol)), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, col ORDER BY close, date) AS a, row_number() OVER (PARTITION BY symbol, col ORDER BY date DESC) AS b FROM c) SELECT symbol, date, close FROM k WHERE a = 1 OR b = 1""")
+def _(spark, d):
+    return stats.envelope(bars_of_orders(spark, d).select("symbol", "date", "close"), "close", columns=100, most=500)
+
+
+@query("st10_t_critical", "SELECT CAST(n AS BIGINT) AS n, CASE WHEN n <= 30 THEN [12.71, 4.30, 3.18, 2.78, 2.57, 2.45, 2.36, 2.31, 2.26, 2.23, 2.20, 2.18, 2.16, 2.14, 2.13, 2.12, 2.11, 2.10, 2.09, 2.09, 2.08, 2.07, 2.07, 2.06, 2.06, 2.06, 2.05, 2.05, 2.05, 2.04][n]::DOUBLE ELSE round(1.96::DOUBLE + 2.4::DOUBLE / n, 9) END AS t FROM range(1, 61) u(n)")
+def _(spark, d):
+    return spark.range(1, 61).select(F.col("id").alias("n"), F.round(stats.t_critical("id"), 9).alias("t"))
+
+
 @query("a43_masked_stats", f"""{ORD}, {_MASK}, y AS (SELECT symbol, avg(ret) * 252 AS own FROM r WHERE ret IS NOT NULL GROUP BY symbol) SELECT r.symbol, regime, count(*) AS n, round(avg(ret), 6) AS mean, round(avg(ret) * 252, 6) AS ann, round(avg(CAST(ret > 0 AS INT)), 6) AS hit, round(avg(ret) / (stddev_pop(ret) / sqrt(count(*))), 6) AS t, round(avg(ret) * 252 - any_value(own), 6) AS excess
   FROM r JOIN h ON h.date = r.date AND ok JOIN y ON y.symbol = r.symbol WHERE ret IS NOT NULL GROUP BY r.symbol, regime HAVING stddev_pop(ret) > 0""")
 def _(spark, d):

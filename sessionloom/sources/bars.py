@@ -41,17 +41,30 @@ def view_name(symbol: Column, aliases: dict[str, str] = ALIASES) -> Column:
     return F.translate(F.lower(file_stem(symbol, aliases)), "-.", "__")
 
 
+#: The ways in which modules name a query view; they differ in ``.`` and ``^`` and in the use of aliases.
+VIEW_NAMES = {
+    "event": lambda c: F.translate(F.lower(F.regexp_replace(F.trim(c), r"^\^+", "")), "-.", "__"),
+    "beta": lambda c: F.translate(F.lower(c), "-^", "_"),
+    "theme": lambda c: F.translate(F.lower(file_stem(c)), "-.", "__"),
+    "basket": lambda c: F.translate(F.lower(file_stem(c)), "-", "_"),
+    "ledger": lambda c: F.translate(F.lower(file_stem(c)), "-.", "__"),
+    "catalog": lambda c: F.translate(F.lower(c), "-^", "_"),
+}
+
+
 def read_bars(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, symbols: list[str] | None = None) -> DataFrame:
-    """Bars from a folder with a Parquet file for each symbol, named by the file.
+    """Bars from a folder with a Parquet file for each symbol, named by the file, or with a folder ``symbol=...`` for each.
 
     Only the columns asked for are read; a symbol list becomes a filter on the file
-    name.  Two files with one query name are an error when :func:`check_catalog` runs.
+    or folder name.  Two files with one query name are an error when :func:`check_catalog` runs.
     """
     want = columns or (*PRICES, "volume")
     df = spark.read.schema(T.StructType([f for f in BARS_SCHEMA if f.name != "symbol"])).parquet(path)
-    # Spark gives file names as in a URL
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    df = df.select(F.regexp_extract(name, r"^(.*)\.parquet$", 1).alias("symbol"), "date", *want)
+    # Spark gives file names as in a URL, and a folder's once more as it wrote them
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/symbol=([^/]*)/[^/]*$", 1)
+    name = F.regexp_extract(plain(F.col("_metadata.file_name")), r"^(.*)\.parquet$", 1)
+    df = df.select(F.when(folder != "", plain(plain(folder))).otherwise(name).alias("symbol"), "date", *want)
     return df.where(F.col("symbol").isin(symbols)) if symbols else df
 
 

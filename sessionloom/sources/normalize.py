@@ -51,6 +51,31 @@ def normalize(raw: DataFrame, now: datetime | None = None, cutoff: date | None =
     return df.select("symbol", "date", *(F.rint(F.col(p).cast("double") * float(PRICE_SCALE)).cast("long").alias(p) for p in PRICES), F.col("volume").cast("long").alias("volume"))
 
 
+def store_bars(raw: DataFrame, path: str, **kw) -> int:
+    """Normalise vendor bars and write them; the number of symbols written, none of which is empty."""
+    from sessionloom.sources.sinks import write_bars
+
+    bars = normalize(raw, **kw)
+    n = bars.select("symbol").distinct().count()
+    if n:
+        write_bars(bars, path)
+    return n
+
+
+#: Series whose vendor symbol is not their name.
+SPECIAL = {"JP6674": "6674.T", "JP7011": "7011.T", "KR005930": "005930.KS"}
+
+
+def equity_universe(*lists: DataFrame, special: dict[str, str] = SPECIAL) -> DataFrame:
+    """series, symbol: every name of any list once, with the symbol to ask a vendor for."""
+    out = None
+    for names in lists:
+        one = names.select(F.col(names.columns[0]).alias("series")).where("series is not null")
+        out = one if out is None else out.unionByName(one)
+    renamed = F.try_element_at(F.create_map(*(F.lit(x) for kv in special.items() for x in kv)), F.col("series"))
+    return out.distinct().select("series", F.coalesce(renamed, "series").alias("symbol"))
+
+
 def stale_symbols(bars: DataFrame, days: int = 3) -> DataFrame:
     """Symbols whose last bar is more than ``days`` before the latest of all: those to fetch again."""
     last = bars.groupBy("symbol").agg(F.max("date").alias("last_date"))
@@ -90,9 +115,16 @@ def merge_metadata(members: DataFrame, extra: DataFrame) -> DataFrame:
     return m.unionByName(tidy(extra).join(m.select("stem"), "stem", "left_anti").select(*m.columns))
 
 
-def tidy_name(name: Column) -> Column:
-    """A company's name without its legal endings."""
-    return F.trim(F.regexp_replace(name, r"(?i)([\s,]+(inc|corp|corporation|company|co|ltd|limited|plc|n\.v|s\.a|ag|se|holdings?|group|class [a-c])\.?)+$", ""))
+#: The legal ending of a name, as a pattern.
+LEGAL = r"(?i)[\s,]*\b(?:the\s+)?(?:inc|incorporated|corp|corporation|co|company|companies|ltd|limited|plc|llc|lp|nv|n\.v|sa|s\.a|ag|se|oyj|abp|holding|holdings|group|kk|k\.k)\.?$"
+
+
+def tidy_name(name: Column, rounds: int = 6) -> Column:
+    """A company's name without its legal endings; a name that is nothing else keeps the last of them."""
+    for _ in range(rounds):
+        less = F.btrim(F.regexp_replace(name, LEGAL, ""), F.lit(" ,."))
+        name = F.when(less == "", name).otherwise(less)
+    return name
 
 
 def earnings_events(spark: SparkSession, path: str) -> DataFrame:

@@ -21,6 +21,32 @@ def write_table(df: DataFrame, path: str, csv: bool = False) -> None:
         df.write.mode("overwrite").csv(f"{path}.csv", header=True)
 
 
+def write_csv_file(df: DataFrame, path: str, order: str) -> None:
+    """A small table as one CSV file in a given order, replaced at once; rows pass the driver one by one."""
+    import csv
+
+    with open(f"{path}.tmp", "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(df.columns)
+        for r in df.orderBy(order).toLocalIterator():
+            out.writerow(["" if v is None else v for v in r])
+    os.replace(f"{path}.tmp", path)
+
+
+def write_json_cache(value: dict, path: str) -> None:
+    """A cache file, replaced at once so that a reader never sees half of it."""
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        json.dump(value, f, indent=1, default=str)
+    os.replace(f"{path}.tmp", path)
+
+
+def read_json_cache(path: str, empty: dict) -> dict:
+    if not os.path.exists(path):
+        return empty
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 def packed_series(bars: DataFrame, price: str = "close") -> DataFrame:
     """symbol, d0, gaps, closes: a series as its first epoch day, day gaps and whole-number prices."""
     g = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(F.unix_date("date").alias("d"), F.col(price).alias("p")))).alias("x"))
