@@ -155,7 +155,7 @@ def volume_masks(bars: DataFrame) -> DataFrame:
     known = lambda c: F.coalesce(c & (F.col("volume") > 0), F.lit(False))
     return x.select(
         "symbol", "date", "close", "volume", known(F.col("volume") >= S.rolling(F.max, "volume", 252, 60)).alias("year_high"), known(F.when(F.count("volume").over(ever) >= 60, F.col("volume") >= F.max("volume").over(ever))).alias("ever_high"),
-        (F.col("v") / S.rolling_median("prior", 51, 20)).alias("rvol"), (S.to_price_col("close") * F.col("v")).alias("dollar"),
+        (F.col("v") / F.nullif(S.rolling_median("prior", 51, 20), F.lit(0.0))).alias("rvol"), (S.to_price_col("close") * F.col("v")).alias("dollar"),
     )
 
 

@@ -192,13 +192,13 @@ def _(spark, d):
     return A.check_eps(e).select("symbol", "fy")
 
 
-@query("s14_earnings_queue", f"{BRA}, k AS (SELECT symbol, CASE WHEN symbol <> 'b11' THEN max(date) - coalesce(TRY_CAST(symbol[3] AS INT), 0) END AS checked FROM bars GROUP BY symbol) SELECT symbol FROM k WHERE checked IS NULL OR checked <= DATE '2001-12-28' - 7 - 3")
+@query("s14_earnings_queue", f"{BRA}, k AS (SELECT symbol, CASE WHEN symbol <> 'b11' THEN max(date) - coalesce(TRY_CAST(symbol[3] AS INT), 0) END AS checked FROM bars GROUP BY symbol) SELECT symbol FROM k WHERE checked IS NULL OR checked <= DATE '2001-11-05' - 7")
 def _(spark, d):
     from datetime import date
 
     last = bars_of_brands(spark, d).groupBy("symbol").agg(F.max("date").alias("last"))
     checked = last.select("symbol", F.when(F.col("symbol") != "b11", F.date_sub("last", F.coalesce(F.substring("symbol", 3, 1).try_cast("int"), F.lit(0)))).alias("checked"))
-    return earnings_queue(checked, date(2001, 12, 25)).select("symbol")
+    return earnings_queue(checked, date(2001, 11, 5)).select("symbol")
 
 
 @query("k5_json_shards")

@@ -101,7 +101,7 @@ def _(spark, d):
 _MASKS = """vm AS (SELECT symbol, date, volume, close, coalesce(CASE WHEN count(*) OVER y >= 60 THEN volume >= max(volume) OVER y END AND volume > 0, FALSE) AS year_high, coalesce(CASE WHEN count(*) OVER e >= 60 THEN volume >= max(volume) OVER e END AND volume > 0, FALSE) AS ever_high, lag(volume) OVER w AS prior,
     close / lag(close) OVER w - 1 AS chg, max(close) OVER y AS hi52 FROM bars
   WINDOW w AS (PARTITION BY symbol ORDER BY date), y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING), e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
-  vx AS (SELECT symbol, date, close, chg, hi52, year_high, ever_high, CASE WHEN count(prior) OVER m >= 20 THEN volume / median(prior) OVER m END AS rvol, close / 100000.0 * volume AS dollar, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM vm WINDOW m AS (PARTITION BY symbol ORDER BY date ROWS 50 PRECEDING))"""
+  vx AS (SELECT symbol, date, close, chg, hi52, year_high, ever_high, CASE WHEN count(prior) OVER m >= 20 THEN volume / nullif(median(prior) OVER m, 0) END AS rvol, close / 100000.0 * volume AS dollar, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM vm WINDOW m AS (PARTITION BY symbol ORDER BY date ROWS 50 PRECEDING))"""
 
 
 @query("x10_volume_masks", f"{BRA}, {_MASKS} SELECT symbol, date, year_high, ever_high, round(rvol, 6) AS rvol FROM vx")
