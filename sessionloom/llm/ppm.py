@@ -452,7 +452,7 @@ def ppm_scores(spark, docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out == 0
     bits = ex.bucket_bits(ex.input_bytes(docs), 4 * ex.BUCKET_BYTES)
-    totals = ex.cut(ex.by_bucket(docs.withColumn("train", ~held).mapInArrow(_gather(order, bits), COUNTS), bits).mapInArrow(_total, TOTALS))
+    totals = ex.cut(ex.by_bucket(docs.withColumn("train", ~held).mapInArrow(ex.trimmed(_gather(order, bits)), COUNTS), bits).mapInArrow(ex.trimmed(_total), TOTALS))
     sums = totals.where("kind = 1").agg(F.sum("total").alias("n"), F.sum("size").alias("v")).first()
     n_train, vocabulary = int(sums.n or 0), int(sums.v or 0)
     below = n_train + 0.1 * (vocabulary + 1)
@@ -465,12 +465,12 @@ def ppm_scores(spark, docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_
     model = spark.sparkContext.broadcast((codes_, logs, words, counts))
     part, unknown = _parts(order, model, n_train, vocabulary)
     if vocabulary <= len(words) and not context_floor:
-        scored = docs.mapInArrow(_scores(part, unknown), SCORES)
+        scored = docs.mapInArrow(ex.trimmed(_scores(part, unknown)), SCORES)
     else:
         rare_words = _unpacked(totals, 1, 1, word_floor).withColumn("w", F.log10((F.col("n") + 0.1) / F.lit(below)))
-        moved = docs.withColumn("tag", F.xxhash64("text")).mapInArrow(_send(part, bits), MOVED)
+        moved = docs.withColumn("tag", F.xxhash64("text")).mapInArrow(ex.trimmed(_send(part, bits)), MOVED)
         for kind, table in enumerate((weighed.where(F.col("n") < context_floor), rare_words)):
             moved = moved.unionByName(table.select("value", "n", "w").mapInArrow(_entries(kind, bits), MOVED))
         first = moved.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions(~F.col("kind").isin(2, 3))
-        scored = ex.by_bucket(first.mapInArrow(_look_up(bits, unknown), MOVED), bits).mapInArrow(_gathered, SCORES)
+        scored = ex.by_bucket(first.mapInArrow(ex.trimmed(_look_up(bits, unknown)), MOVED), bits).mapInArrow(ex.trimmed(_gathered), SCORES)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
