@@ -103,6 +103,22 @@ def input_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """The rows (doc_id, text, ...) with ``row_id``, which names a text: the doc_id where all its rows have one text.
+
+    Where rows repeat a doc_id with other texts, each goes by a hash of both, below
+    any other id, so that what is found of one of them is not done to the others.
+    """
+    tag = F.xxhash64("text")
+    mixed = cut(docs.groupBy("doc_id").agg(F.min(tag).alias("a"), F.max(tag).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("mixed")))
+    n = mixed.count()
+    if not n:
+        return docs.withColumn("row_id", F.col("doc_id"))
+    named = docs.join(F.broadcast(mixed) if n <= BROADCAST_ROWS else mixed, "doc_id", "left")
+    low = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("doc_id", tag), 2)
+    return named.withColumn("row_id", F.when(F.col("mixed"), low).otherwise(F.col("doc_id"))).drop("mixed")
+
+
 def bucket_bits(size: int, per: int = BUCKET_BYTES) -> int:
     """Bits of the hash that name a bucket: about one bucket for each ``per`` bytes of input."""
     return min(20, max(3, math.ceil(math.log2(max(1, size / per)))))

@@ -476,7 +476,7 @@ def class_links(spark, docs: DataFrame, percent: int = 70, width: int = 3) -> tu
     bits = ex.bucket_bits(size)
     hot_df = max(1000, 2 * size // 1_000_000)
     seen = ex.by_bucket(docs.mapInArrow(_scan(width, bits), SCAN), bits).mapInArrow(_credit(hot_df), CREDIT)
-    seen = ex.cut(seen.groupBy("kind", "doc_id").agg(F.max("n").alias("n"), F.max_by("k1", "n").alias("k1"), F.max_by("k2", "n").alias("k2"), F.sum("shared").alias("shared")))
+    seen = ex.cut(seen.groupBy("kind", "doc_id").agg(F.max(F.struct("n", "k1", "k2")).alias("s"), F.sum("shared").alias("shared")).select("kind", "doc_id", "s.*", "shared"))
     sets = seen.where("kind = 0").select("doc_id", "n", "k1", "k2", "shared")
     hot_rows = seen.where("kind = 1").select("doc_id", "n")
     hot = hot_rows.orderBy(F.desc("n"), "doc_id").limit(ex.BROADCAST_ROWS).toPandas() if not hot_rows.isEmpty() else None
@@ -522,7 +522,8 @@ def ngram_jaccard(spark, docs: DataFrame, percent: int = 70, width: int = 3) ->
 
     Null or empty texts, and texts of white space, have the empty set, link with
     nothing and are their own component.  Rows with a null doc_id are left out;
-    rows that repeat a doc_id count once.  Other columns are ignored.
+    rows that repeat a doc_id count once (with other texts, name the rows by
+    :func:`exchange.by_row` first).  Other columns are ignored.
     An empty table gives no rows.
     """
     sets, classes, links = class_links(spark, docs, percent, width)

@@ -65,3 +65,17 @@ def test_no_rows(spark, tmp_path):
     for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_that_repeat_a_doc_id_with_another_text(spark, folder):
+    """Each is judged by itself: a copy and a leak go, what else bears their id stays."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 20")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    leak = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    own = " ".join(f"own{k}" for k in range(70))
+    extra = [(900, texts[3], "en", "x", 1), (900, own, "en", "x", 1), (901, own[::-1] + " " + leak, "en", "x", 1), (901, own[::-1], "en", "x", 1), (902, texts[4], "en", "x", 1)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(3)
+    kept = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, folder).collect()]
+    assert sum(t == texts[3] for _, t in kept) == 1 and (900, own) in kept and (4, texts[4]) in kept and 902 not in {i for i, _ in kept}
+    clean = [(r.doc_id, r.text) for r in cp.benchmark_leaks(spark, docs, folder).collect()]
+    assert (901, own[::-1]) in clean and (901, own[::-1] + " " + leak) not in clean and len(clean) == docs.count() - 1
