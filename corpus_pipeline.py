@@ -21,9 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least doc_id."""
-    gone = ex.cut(ngram_jaccard(spark, docs).where("doc_id <> component_id").select("doc_id"))
-    return ex.anti(docs, gone, "doc_id", gone.count()).select(*COLUMNS)
+    """Of each group of linked documents, the one with the least doc_id; rows that repeat a doc_id with another text are judged by themselves."""
+    docs = ex.by_row(docs)
+    gone = ex.cut(ngram_jaccard(spark, docs.select(F.col("row_id").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("row_id")))
+    return ex.anti(docs, gone, "row_id", gone.count()).select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,10 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    bad = ex.cut(decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id"))
-    return ex.anti(docs, bad, "doc_id", bad.count()).select(*COLUMNS)
+    """Documents without passages of the benchmark; rows that repeat a doc_id with another text are judged by themselves."""
+    docs = ex.by_row(docs)
+    bad = ex.cut(decontaminate(spark, docs.select(F.col("row_id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("row_id")).distinct())
+    return ex.anti(docs, bad, "row_id", bad.count()).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
