@@ -12,9 +12,6 @@ from sessionloom.functions import series as S
 from sessionloom.functions import stats
 from sessionloom.sources.bars import PRICE_SCALE
 
-#: Rows of a list of symbols up to which it is broadcast.
-BROADCAST_ROWS = 100_000
-
 # ---------------------------------------------------------------- universe and calendar
 
 
@@ -220,8 +217,7 @@ def leaderboard(bars: DataFrame, themes: DataFrame, least: int = 70) -> DataFram
     """Themes (symbol, ordinal) of enough sessions by one-month return now and a month ago: ranks, their change, and returns; ties in the order of the list."""
     w = S.by_symbol()
     p = F.col("close").cast("double")
-    x = bars.join(F.broadcast(themes.select("symbol")), "symbol", "left_semi") if themes.count() <= BROADCAST_ROWS else bars.join(themes.select("symbol"), "symbol", "left_semi")
-    x = x.select("symbol", "date", S.lag_ret(k=5).alias("r1w"), S.lag_ret(k=21).alias("r1m"), S.lag_ret(k=63).alias("r3m"), (F.lag(p, 21).over(w) / F.lag(p, 42).over(w) - 1.0).alias("prev1m"), F.row_number().over(S.latest_first()).alias("rn"), F.count("*").over(W.partitionBy("symbol")).alias("n"))
+    x = bars.join(themes.select("symbol"), "symbol", "left_semi").select("symbol", "date", S.lag_ret(k=5).alias("r1w"), S.lag_ret(k=21).alias("r1m"), S.lag_ret(k=63).alias("r3m"), (F.lag(p, 21).over(w) / F.lag(p, 42).over(w) - 1.0).alias("prev1m"), F.row_number().over(S.latest_first()).alias("rn"), F.count("*").over(W.partitionBy("symbol")).alias("n"))
     last = x.where((F.col("rn") == 1) & (F.col("n") >= least)).join(themes.select("symbol", "ordinal"), "symbol").withColumn("one", F.lit(1))
     rank = lambda c: F.row_number().over(W.partitionBy("one").orderBy(F.desc_nulls_last(c), "ordinal"))
     return last.withColumn("rank", rank("r1m")).withColumn("prev_rank", rank("prev1m")).select("symbol", "r1w", "r1m", "r3m", "rank", "prev_rank", (F.col("prev_rank") - F.col("rank")).alias("change"))

@@ -143,12 +143,16 @@ def _(spark, d):
     return x.select("symbol", F.json_array_length("json").cast("long").alias("episodes"))
 
 
-@query("f7_regimes_by_win_rate")
+@query("f7_regimes_by_win_rate", f"""{ORD}, s AS (SELECT symbol, date, close, ret, lead(close) OVER w / close - 1 AS o, sum(close) OVER m / count(*) OVER m AS ma FROM r WINDOW w AS (PARTITION BY symbol ORDER BY date), m AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING)),
+  h AS (SELECT s.o, a.ret > 0 AS c1, b.ret < 0 AS c2, c.close > c.ma AS c3 FROM s LEFT JOIN s a ON a.date = s.date AND a.symbol = 'p2' LEFT JOIN s b ON b.date = s.date AND b.symbol = 'p3' LEFT JOIN s c ON c.date = s.date AND c.symbol = 'p4' WHERE s.symbol = 'p1' AND s.ret <= -0.01 AND s.o IS NOT NULL),
+  l AS (SELECT 'p2 up' AS regime, o FROM h WHERE c1 UNION ALL SELECT 'p3 down', o FROM h WHERE c2 UNION ALL SELECT 'p4 above', o FROM h WHERE c3), g AS (SELECT regime, count(*) AS n, round(avg(CAST(o > 0 AS INT)), 6) AS win_rate FROM l GROUP BY regime HAVING count(*) >= 3)
+  SELECT *, row_number() OVER (ORDER BY win_rate DESC, regime) AS rank FROM g""")
 def _(spark, d):
     from sessionloom.operators.events import compare_regimes
 
     c = compare_regimes(bars_of_orders(spark, d), "p1", {"p2 up": "p2_up", "p3 down": "p3_down", "p4 above": "p4 > p4_50dma"}, threshold=-0.01)
-    return c.where("n >= 3").select("regime", "n", "win_rate", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("win_rate"), "regime")).alias("rank"))
+    c = r6(c.where("n >= 3"), "win_rate")
+    return c.select("regime", "n", "win_rate", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("win_rate"), "regime")).cast("long").alias("rank"))
 
 
 _TAILS = ("", ", Inc.", " Holdings Ltd", " Group PLC", " Companies, LLC", " K.K", " Oyj", " The Company", " & Co., Ltd.", " S.A", " Incorporated", " class A")
