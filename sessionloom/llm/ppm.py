@@ -209,15 +209,31 @@ def _logarithms(seen: DataFrame, order: int, unseen: DataFrame) -> DataFrame:
     return known.unionByName(wide.select("value", F.lit(0).cast("long").alias("n"), w.alias("w")))
 
 
-def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Values, sorted, and the column beside them, sent to the driver packed."""
+def _packed(batches):
+    for b in batches:
+        yield ex.batch({"v": pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), "w": pa.array([b.column(1).to_numpy().tobytes()], pa.binary())})
+
+
+def _packed_words(least: int):
+    """Words of the totals' packed rows that have that count."""
 
-    def packed(batches):
+    def run(batches):
         for b in batches:
-            yield ex.batch({"v": pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), "w": pa.array([b.column(1).to_numpy().tobytes()], pa.binary())})
+            for v, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v, n = np.frombuffer(v, np.uint64), np.frombuffer(n, np.int64)
+                ok = n >= least
+                yield ex.batch({"v": pa.array([v[ok].tobytes()], pa.binary()), "w": pa.array([n[ok].astype(np.float64).tobytes()], pa.binary())})
 
+    return run
+
+
+def _sorted(table: DataFrame, pack) -> tuple[np.ndarray, np.ndarray]:
+    """Values, sorted, and what goes with them, sent to the driver packed.
+
+    One function packs what the table has: two in a row would be two workers a task.
+    """
     values, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.float64)]
-    for r in table.mapInArrow(packed, "v binary, w binary").toLocalIterator():
+    for r in table.mapInArrow(ex.trimmed(pack), "v binary, w binary").toLocalIterator():
         values.append(np.frombuffer(r.v, np.uint64))
         weights.append(np.frombuffer(r.w, np.float64))
     v = np.concatenate(values)
@@ -346,15 +362,30 @@ def _send(part, bits: int):
     return run
 
 
-def _entries(kind: int, bits: int):
-    """The table's rows (value, n, w), by bucket."""
+def _entries(kind: int, bits: int, v: np.ndarray, n: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    """Rows of the table by bucket: values with their counts and logarithms."""
+    bucket = _bucket(v, bits)
+    order = np.argsort(bucket, kind="stable")
+    return _moved(2 + kind, bucket[order], value=v[order], n=n[order].astype(np.int64), sums=w[order].astype(np.float64))
+
+
+def _code_entries(bits: int):
+    def run(batches):
+        for b in batches:
+            yield _entries(0, bits, b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy())
+
+    return run
+
+
+def _word_entries(bits: int, below_count: int, below: float):
+    """The words of the totals' packed rows that are not broadcast."""
 
     def run(batches):
         for b in batches:
-            v, n, w = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
-            bucket = _bucket(v, bits)
-            order = np.argsort(bucket, kind="stable")
-            yield _moved(2 + kind, bucket[order], value=v[order], n=n[order].astype(np.int64), sums=w[order].astype(np.float64))
+            for v, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v, n = np.frombuffer(v, np.uint64), np.frombuffer(n, np.int64)
+                ok = n < below_count
+                yield _entries(1, bits, v[ok], n[ok], np.log10((n[ok] + 0.1) / below))
 
     return run
 
@@ -458,8 +489,9 @@ def ppm_scores(spark, docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_
     below = n_train + 0.1 * (vocabulary + 1)
     context_floor, word_floor = _floor(totals, 0, max_nodes), _floor(totals, 1, max_words)
     weighed = ex.cut(_logarithms(_unpacked(totals, 0, 1), order, _unpacked(totals, 0, 0, 1)))
-    codes_, logs = _sorted(weighed.where(F.col("n") >= context_floor).select("value", "w"))
-    words, counts = _sorted(_unpacked(totals, 1, word_floor).select("value", F.col("n").cast("double")))
+    codes_, logs = _sorted(weighed.where(F.col("n") >= context_floor).select("value", "w"), _packed)
+    word_rows = totals.where("kind = 1").select("value", "n")
+    words, counts = _sorted(word_rows, _packed_words(word_floor))
     if n_train and (not len(words) or words[0] != 0):  # the end token is always known
         words, counts = np.concatenate([np.zeros(1, np.uint64), words]), np.concatenate([np.array([float(docs.where(~held).count())]), counts])
     model = spark.sparkContext.broadcast((codes_, logs, words, counts))
@@ -467,10 +499,9 @@ def ppm_scores(spark, docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_
     if vocabulary <= len(words) and not context_floor:
         scored = docs.mapInArrow(ex.trimmed(_scores(part, unknown)), SCORES)
     else:
-        rare_words = _unpacked(totals, 1, 1, word_floor).withColumn("w", F.log10((F.col("n") + 0.1) / F.lit(below)))
         moved = docs.withColumn("tag", F.xxhash64("text")).mapInArrow(ex.trimmed(_send(part, bits)), MOVED)
-        for kind, table in enumerate((weighed.where(F.col("n") < context_floor), rare_words)):
-            moved = moved.unionByName(table.select("value", "n", "w").mapInArrow(_entries(kind, bits), MOVED))
+        moved = moved.unionByName(weighed.where(F.col("n") < context_floor).select("value", "n", "w").mapInArrow(ex.trimmed(_code_entries(bits)), MOVED))
+        moved = moved.unionByName(word_rows.mapInArrow(ex.trimmed(_word_entries(bits, word_floor, below)), MOVED))
         first = moved.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions(~F.col("kind").isin(2, 3))
         scored = ex.by_bucket(first.mapInArrow(ex.trimmed(_look_up(bits, unknown)), MOVED), bits).mapInArrow(ex.trimmed(_gathered), SCORES)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
