@@ -157,9 +157,16 @@ def feature_column(f: Feature, least: int | None = 1) -> Column:
 
 
 def gated(left: DataFrame, bars: DataFrame, wanted: set[Feature], date: str) -> DataFrame:
-    """``left`` with the features of every series, by exact date; a missing date is null."""
-    for s in sorted({f.series for f in wanted}):
-        mine = sorted((f for f in wanted if f.series == s), key=lambda f: f.column)
-        own = bars.where(view_name(F.col("symbol")) == s).select(F.col("date").alias(date), *(feature_column(f).alias(f.column) for f in mine))
-        left = left.join(own, date, "left")
-    return left
+    """``left`` with the features of every series, by exact date; a missing date is null.
+
+    All series are read once: each kind of feature is one column of them all, which a
+    group by date turns into a row of all that is wanted.
+    """
+    if not wanted:
+        return left
+    view = view_name(F.col("symbol"))
+    kinds = {(f.kind, f.n): f for f in wanted}
+    name = lambda f: f"__{f.kind}_{f.n}"
+    own = bars.where(view.isin(*sorted({f.series for f in wanted}))).select(view.alias("__view"), "symbol", F.col("date").alias(date), *(feature_column(f).alias(name(f)) for f in (kinds[k] for k in sorted(kinds, key=str))))
+    day = own.groupBy(date).agg(*(F.max(F.when(F.col("__view") == f.series, F.col(name(f)))).alias(f.column) for f in sorted(wanted, key=lambda f: f.column)))
+    return left.join(day, date, "left")
