@@ -88,3 +88,14 @@ def test_components_of_a_hub_a_chain_and_loops(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
     want = {k: 1 for k in [*range(1, 300), 1000]} | {k: 2000 for k in range(2000, 2051)} | {5000: 5000}
     assert got == want
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    r = random.Random(6)
+    words = [f"w{r.randrange(9000)}" for _ in range(120_000)]
+    near = [w if k % 50 else "new" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "short text of its own"), (4, " ".join(words[:40_000]))]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, copies int")
+    got = sorted(tuple(x)[:4] for x in ngram_jaccard(spark, df).collect())
+    sets = {i: {*zip(w, w[1:], w[2:])} for i, w in ((i, t.split()) for i, t in rows)}
+    assert got == [(1, len(sets[1]), 1, 1), (2, len(sets[2]), 1, 1), (3, 3, 0, 3), (4, len(sets[4]), 0, 4)]

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from sessionloom.llm.packing import Bins, best_fit_packing
 
 
@@ -49,3 +51,21 @@ def test_best_fit_against_scan_of_all_bins():
 
 def test_no_rows(spark):
     assert best_fit_packing(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("source", ["one", None])
+def test_one_source_repeated_rows_and_a_long_text(spark, source):
+    rows = [(i, "w " * (40 + i % 7), source) for i in range(60)] + [(0, "w " * 40, source)] * 3 + [(99, "x " * 9_000, source), (100, "", source), (101, None, source)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, bin_id int").repartition(3)
+    got = best_fit_packing(spark, df, capacity=100).collect()
+    used, bins = {}, {}
+    for r in got:
+        used[r.doc_id] = used.get(r.doc_id, 0) + r.length
+        bins.setdefault(r.bin_id, []).append(r)
+    words = {}
+    for i, t, _ in rows:
+        if t:
+            words[i] = words.get(i, 0) + len(t.split())
+    assert used == words
+    assert all(len(b) <= 2 and sum(r.length for r in b) <= 100 for b in bins.values())
+    assert all(len({r.doc_id for r in b}) == len(b) for b in bins.values() if any(r.doc_id == 0 for r in b))
