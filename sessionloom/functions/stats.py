@@ -155,7 +155,7 @@ def dynamic_histogram(df: DataFrame, value: str) -> DataFrame:
 T_POINTS = (12.71, 4.30, 3.18, 2.78, 2.57, 2.45, 2.36, 2.31, 2.26, 2.23, 2.20, 2.18, 2.16, 2.14, 2.13, 2.12, 2.11, 2.10, 2.09, 2.09, 2.08, 2.07, 2.07, 2.06, 2.06, 2.06, 2.05, 2.05, 2.05, 2.04)
 
 
-def t_critical(df: str | Column) -> Column:
+def t_of_page(df: str | Column) -> Column:
     """The two-sided 5 % point of t as a page computes it: a table up to 30, an approximation beyond, null below 1."""
     n = F.col(df) if isinstance(df, str) else df
     return F.when((n >= 1) & (n <= 30), F.get(F.array(*(F.lit(x) for x in T_POINTS)), (n - 1).cast("int"))).when(n > 30, 1.96 + 2.4 / n)
@@ -166,7 +166,7 @@ def row_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     v = F.col(value)
     g = df.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg((v > 0).cast("double")).alias("up"), F.avg(v).alias("m"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"))
     se = F.col("sd") / F.sqrt("n")
-    half = F.when(F.col("sd") > 0, t_critical(F.col("n") - 1) * se).otherwise(0.0)
+    half = F.when(F.col("sd") > 0, t_of_page(F.col("n") - 1) * se).otherwise(0.0)
     return g.select(*keys, "n", F.round(F.col("up") * 100, 2).alias("up"), F.round("m", 3).alias("mean"), F.when(F.col("sd") > 0, F.round(F.col("m") / se, 2)).alias("t"), F.round(F.col("m") - half, 3).alias("ci_lo"), F.round(F.col("m") + half, 3).alias("ci_hi"))
 
 

@@ -229,7 +229,7 @@ def _(spark, d):
 
 @query("st10_t_critical", "SELECT CAST(n AS BIGINT) AS n, CASE WHEN n <= 30 THEN [12.71, 4.30, 3.18, 2.78, 2.57, 2.45, 2.36, 2.31, 2.26, 2.23, 2.20, 2.18, 2.16, 2.14, 2.13, 2.12, 2.11, 2.10, 2.09, 2.09, 2.08, 2.07, 2.07, 2.06, 2.06, 2.06, 2.05, 2.05, 2.05, 2.04][n]::DOUBLE ELSE round(1.96::DOUBLE + 2.4::DOUBLE / n, 9) END AS t FROM range(1, 61) u(n)")
 def _(spark, d):
-    return spark.range(1, 61).select(F.col("id").alias("n"), F.round(stats.t_critical("id"), 9).alias("t"))
+    return spark.range(1, 61).select(F.col("id").alias("n"), F.round(stats.t_of_page("id"), 9).alias("t"))
 
 
 @query("a43_masked_stats", f"""{ORD}, {_MASK}, y AS (SELECT symbol, avg(ret) * 252 AS own FROM r WHERE ret IS NOT NULL GROUP BY symbol) SELECT r.symbol, regime, count(*) AS n, round(avg(ret), 6) AS mean, round(avg(ret) * 252, 6) AS ann, round(avg(CAST(ret > 0 AS INT)), 6) AS hit, round(avg(ret) / (stddev_pop(ret) / sqrt(count(*))), 6) AS t, round(avg(ret) * 252 - any_value(own), 6) AS excess
