@@ -151,10 +151,10 @@ def _(spark, d):
     return r6(A.move_context(bars_of_brands(spark, d)).where("z is not null"), "move_pct", "z", "pct")
 
 
-@query("a37_reaction_sessions", f"""{ORD}, e AS (SELECT 'p' || o_orderpriority[1] AS symbol, o_orderkey AS id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 AS INT) AS target FROM orders WHERE o_orderkey % 7 = 0)
-  SELECT e.symbol, id, min(b.date) AS session FROM e JOIN bars b ON b.symbol = e.symbol AND b.date >= e.target GROUP BY e.symbol, id""")
+@query("a37_reaction_sessions", f"""{ORD}, e AS (SELECT 'p' || o_orderpriority[1] AS symbol, o_orderkey AS id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 AS INT) AS target FROM orders)
+  SELECT e.symbol, id, b.date AS session FROM e ASOF JOIN bars b ON b.symbol = e.symbol AND e.target <= b.date""")
 def _(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet")  # every order is an event; the SQL has those whose key 7 divides
+    o = spark.read.parquet(f"{d}/orders.parquet")  # every order is an event
     e = o.select(F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("symbol"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), (F.col("o_orderkey") % 2 == 1).alias("after_close"))
     return A.reaction_sessions(e, bars_of_orders(spark, d)).select("symbol", "id", "session")
 
