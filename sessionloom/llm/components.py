@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import batch, cut
+from .exchange import batch, cut, trimmed
 
 
+@trimmed
 def _contract(batches):
     """Edges of one partition, thinned to a star forest; what is left is at most one edge a node."""
     us, vs = [], []

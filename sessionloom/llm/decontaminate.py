@@ -135,6 +135,7 @@ def _found(hits: list[list[tuple[int, int, int]]]) -> dict[str, pa.Array]:
 
 
 def _search(index: Index):
+    @ex.trimmed
     def run(batches):
         for ids, data, off in ex.text_chunks(batches):
             data = vec.lower(data)
@@ -159,6 +160,7 @@ FILTER_BITS = 28
 SPLIT = 8
 
 
+@ex.trimmed
 def _item_tokens(batches):
     for b in batches:
         texts = b.column(2).to_pylist()
@@ -180,6 +182,7 @@ def _pack_seeds(kind: int, bits: int, split: int, key, who, tag, at, size):
 def _item_seeds(masks: tuple[str, ...], bits: int, split: int):
     longest = max(map(len, masks))
 
+    @ex.trimmed
     def run(batches):
         for b in batches:
             h = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64)
@@ -200,6 +203,7 @@ def _item_seeds(masks: tuple[str, ...], bits: int, split: int):
 def _filter_part(bits: int, filter_bits: int):
     """At a bucket: which of its stretch of the filter's places a seed has."""
 
+    @ex.trimmed
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
@@ -214,6 +218,7 @@ def _filter_part(bits: int, filter_bits: int):
 
 
 def _text_seeds(masks: tuple[str, ...], bits: int, split: int, seen, filter_bits: int):
+    @ex.trimmed
     def run(batches):
         held, size = [], 0
         places = np.frombuffer(seen.value, np.uint8)
@@ -243,6 +248,7 @@ def _text_seeds(masks: tuple[str, ...], bits: int, split: int, seen, filter_bits
 HITS = "doc_id long, tag long, size long, item long, shift long"
 
 
+@ex.trimmed
 def _meet(batches):
     """At a part of a bucket, items' rows first: the diagonals of equal seeds, once for each batch of text seeds."""
     items, sorted_ = [], None
@@ -282,6 +288,7 @@ def _verify(min_tokens: int, mismatch: int):
     def done(key, hits):
         return ex.batch({"doc_id": pa.array([key[0]], pa.int64()), "tag": pa.array([key[1]], pa.int64()), **_found([hits])})
 
+    @ex.trimmed
     def run(batches):
         key, h, hits = None, None, []
         for b in batches:

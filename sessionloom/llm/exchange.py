@@ -80,11 +80,14 @@ def trimmed(run):
     """A task's function that gives freed memory back to the system at its end: the worker lives on, beside others."""
 
     def out(batches):
-        yield from run(batches)
         try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
     return out
 

@@ -108,13 +108,17 @@ def _scan(width: int, bits: int):
 
     def flush(hold):
         values, texts, ids, sizes, keys = (np.concatenate(x) for x in zip(*hold))
+        hold.clear()
         order = np.argsort(values)
         v, t = values[order], texts[order]
+        del values, texts, order
         at = ex.group_starts(v)
-        count = np.diff(np.append(at, len(v)))
+        count = np.diff(np.append(at, len(v))).astype(np.int32)
         local = np.bincount(t[np.repeat(count > 1, count)], minlength=len(ids)).astype(np.int64)
-        who = np.where(count == 1, t[at], -count).astype(np.int32)
-        bucket = (v[at] >> shift).astype(np.int32)
+        who = np.where(count == 1, t[at], -count)
+        v = v[at]
+        del t, at, count
+        bucket = (v >> shift).astype(np.int32)
         starts = ex.group_starts(bucket)
         names = []
         for a, b in zip(starts, np.append(starts[1:], len(bucket))):
@@ -122,7 +126,7 @@ def _scan(width: int, bits: int):
             mine, renamed = np.unique(who[a:b][single], return_inverse=True)
             who[a:b][single] = renamed
             names.append(ids[mine].tobytes())
-        rows = ex.pack(bucket, {"value": v[at], "who": who})
+        rows = ex.pack(bucket, {"value": v, "who": who})
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.binary()), pa.array([b""] * len(names), pa.binary())], ["bucket", "value", "who", "ids", "info"])
         # a record goes by its text's id, so a task that is run again sends it to the same bucket
         info = np.column_stack([ids, sizes, keys, local]).astype(np.int64)
@@ -132,11 +136,12 @@ def _scan(width: int, bits: int):
         none = pa.array([b""] * len(rows), pa.binary())
         yield pa.RecordBatch.from_arrays([rows.column(0), none, none, none, rows.column(1)], ["bucket", "value", "who", "ids", "info"])
 
+    @ex.trimmed
     def run(batches):
         hold, held, texts_at = [], 0, 0
         for ids, data, off in ex.text_chunks(batches):
             values, texts, sizes = shingle_sets(data, off, width)
-            hold.append((values, texts + texts_at, ids, sizes, _set_keys(values, sizes)))
+            hold.append((values, (texts + texts_at).astype(np.int32), ids, sizes, _set_keys(values, sizes)))
             held, texts_at = held + len(values), texts_at + len(ids)
             if held >= ex.FLUSH:
                 yield from flush(hold)
@@ -153,6 +158,7 @@ CREDIT = "kind int, doc_id long, n long, k1 long, k2 long, shared long"
 def _credit(hot_df: int):
     """Step 1, at a bucket: elements in two sets or more are credited to their texts."""
 
+    @ex.trimmed
     def run(batches):
         values, whos, docs = [], [], []
         for b in batches:
@@ -210,8 +216,10 @@ def _postings(width: int, bits: int, hot: tuple[bytes, bytes]):
 
     def flush(hold):
         values, texts, ids, sizes = (np.concatenate(x) for x in zip(*hold))
+        hold.clear()
         yield _kinded(_entries(np.zeros(len(ids), np.uint64), ids, sizes, bits), 2)
         docs = ids[texts]
+        del texts
         if len(hot_values):
             at = np.minimum(np.searchsorted(hot_values, values), len(hot_values) - 1)
             is_hot = hot_values[at] == values
@@ -219,13 +227,15 @@ def _postings(width: int, bits: int, hot: tuple[bytes, bytes]):
             values, docs = values[~is_hot], docs[~is_hot]
         order = np.argsort(values)
         values, docs = values[order], docs[order]
+        del order
         yield _kinded(ex.pack((values >> np.uint64(64 - bits)).astype(np.int32), {"value": values, "doc": docs, "df": np.zeros(len(docs), np.uint8)}), 0)
 
+    @ex.trimmed
     def run(batches):
         hold, held, texts_at = [], 0, 0
         for ids, data, off in ex.text_chunks(batches):
             values, texts, sizes = shingle_sets(data, off, width)
-            hold.append((values, texts + texts_at, ids, sizes))
+            hold.append((values, (texts + texts_at).astype(np.int32), ids, sizes))
             held, texts_at = held + len(values), texts_at + len(ids)
             if held >= ex.FLUSH:
                 yield from flush(hold)
@@ -245,6 +255,7 @@ def _split_kinds(batches):
 def _frequencies(bits: int):
     """At the bucket of an element: its frequency goes back to the texts that have it, unless it is 1."""
 
+    @ex.trimmed
     def run(batches):
         mine = []
         for own, rest in _split_kinds(batches):
@@ -280,6 +291,7 @@ def _subset_keys(values: np.ndarray, sizes: range, n: int, percent: int) -> list
 def _index(percent: int):
     """Step 2, at the bucket of a text: its elements, the rarest of them, and how many pairs their lists make for it."""
 
+    @ex.trimmed
     def run(batches):
         kinds, rows = [], []
         for b in batches:
@@ -326,6 +338,7 @@ LISTED = "key long, doc_id long, n long"
 def _keys(percent: int, light: int):
     """The lists that each set enters: of its subsets if it is light, of its rarest elements if a partner can be heavy."""
 
+    @ex.trimmed
     def run(batches):
         for b in batches:
             keys, at = [], []
@@ -344,6 +357,7 @@ def _keys(percent: int, light: int):
 def _candidates(percent: int):
     """Pairs of one list whose sizes allow a link, each once a partition; of two blocks of a list, pairs across them."""
 
+    @ex.trimmed
     def run(batches):
         parts = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
         if not parts:
@@ -402,6 +416,7 @@ def grouped(batches, column: str):
 
 
 def _verify(percent: int):
+    @ex.trimmed
     def run(batches):
         left, right = [], []
         for t in grouped(batches, "g"):

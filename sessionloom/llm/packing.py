@@ -81,6 +81,7 @@ OUT = "bin_id long, slot int, doc_id long, piece int, start long, length long, l
 
 
 def _pack(capacity: int, per_source: int):
+    @ex.trimmed
     def run(batches):
         for t in grouped(batches, "g"):
             g = t["g"][0].as_py()

@@ -106,14 +106,17 @@ def _anchors(kind: Kind, bits: int):
 
     def flush(hold):
         values, docs = (np.concatenate(x) for x in zip(*hold))
+        hold.clear()
         order = np.argsort(values)
         v, d = values[order], docs[order]
+        del values, docs, order
         at = ex.group_starts(v)
         count = np.diff(np.append(at, len(v)))
         many = np.repeat(count > 1, count)
         yield _to_docs(v[many], d[many], np.zeros(int(many.sum()), np.uint8), bits, 1)
         yield _kinded(ex.pack((v[at] >> np.uint64(64 - bits)).astype(np.int32), {"value": v[at], "doc": d[at], "info": count.astype(np.int32)}), 0)
 
+    @ex.trimmed
     def run(batches):
         hold, held = [], 0
         for ids, data, off in ex.text_chunks(batches):
@@ -144,6 +147,7 @@ def _anchors(kind: Kind, bits: int):
 
 
 def _shared(bits: int, hot: int):
+    @ex.trimmed
     def run(batches):
         mine = []
         for b in batches:
@@ -168,6 +172,7 @@ def _shared(bits: int, hot: int):
 DOCS = "doc_id long, anchors binary"
 
 
+@ex.trimmed
 def _per_doc(batches):
     """The shared anchors of each document that has any; the hot ones under a null document."""
     values, docs = [], []
@@ -221,6 +226,7 @@ def _fragments(kind: Kind, bits: int, hot_bytes: bytes):
         rows = ex.pack(bucket, {"anchor": anchor, "content": content, "doc": doc, "tag": tag, "start": start.astype(np.int32), "count": count.astype(np.int8), "size": np.where(first, size, 0).astype(np.int32)})
         yield rows.append_column("body", pa.array(bodies, pa.binary()))
 
+    @ex.trimmed
     def run(batches):
         hold, held = [], 0
         for b in batches:
@@ -302,6 +308,7 @@ MARKS = ex.pack_schema("doc", "tag", "start", "mask")
 def _match(kind: Kind, bits: int, matcher: Callable):
     """At the bucket of an anchor: which windows have an earlier equal."""
 
+    @ex.trimmed
     def run(batches):
         parts = {k: [] for k in ("anchor", "content", "doc", "tag", "start", "count", "size")}
         bodies, body_at, base = [], [], 0
@@ -352,6 +359,7 @@ SPANS = "doc_id long, tag long, spans binary"
 def _spans(length: int):
     """At the bucket of a document: the union of its marked windows, as (start, end) pairs."""
 
+    @ex.trimmed
     def run(batches):
         x, _, _ = ex.unpack(batches, doc=np.int64, tag=np.int64, start=np.int32, mask=np.uint64)
         bits = (x["mask"][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) if len(x["mask"]) <= 200_000 else None

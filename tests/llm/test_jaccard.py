@@ -1,5 +1,8 @@
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -99,3 +102,34 @@ def test_a_very_long_text_and_its_near_copy(spark):
     got = sorted(tuple(x)[:4] for x in ngram_jaccard(spark, df).collect())
     sets = {i: {*zip(w, w[1:], w[2:])} for i, w in ((i, t.split()) for i, t in rows)}
     assert got == [(1, len(sets[1]), 1, 1), (2, len(sets[2]), 1, 1), (3, 3, 0, 3), (4, len(sets[4]), 0, 4)]
+
+
+HELD = """
+import re, resource
+import numpy as np, pyarrow as pa
+from sessionloom.llm import jaccard, repeats
+own = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+top = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+r = np.random.default_rng(5)
+def batches(n, words=200):
+    for k in range(n):
+        data = r.integers(97, 123, (1000 * words, 6), dtype=np.uint8)
+        data[:, 5] = 32
+        off = np.arange(1001, dtype=np.int32) * (6 * words)
+        text = pa.Array.from_buffers(pa.string(), 1000, [None, pa.py_buffer(off), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1000) + 1000 * k), text], ["doc_id", "text"])
+run = {"scan": jaccard._scan(3, 5), "postings": jaccard._postings(3, 5, (b"", b"")), "anchors": repeats._anchors(repeats.Kind(True, 5, 2), 5)}[KIND]
+sum(b.nbytes for b in run(batches(1)))
+low, high = own(), top()
+sum(b.nbytes for b in run(batches(17)))
+print(own() - low, top() - high)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+@pytest.mark.parametrize("kind", ["scan", "postings", "anchors"])
+def test_a_task_gives_its_memory_back(kind):
+    """Workers live on between tasks, so what a task held would stay in an executor's memory through other stages."""
+    said = subprocess.run([sys.executable, "-c", HELD.replace("KIND", repr(kind))], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True, timeout=120)
+    kept, peak = map(float, said.stdout.split())
+    assert kept < 10 and peak < 110
