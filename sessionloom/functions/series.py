@@ -85,12 +85,18 @@ def as_of_backward(left: DataFrame, right: DataFrame, date: str = "date") -> Dat
 
 
 def as_of_forward(left: DataFrame, right: DataFrame, date: str = "date") -> DataFrame:
-    """Each row of ``left`` with ``session``: the first bar date of its symbol on or after the row's date, else null."""
-    a = left.select("symbol", date, F.struct("*").alias("__row"), F.lit(0).alias("__side"))
-    b = right.select("symbol", F.col("date").alias(date), F.lit(1).alias("__side"))
-    both = a.withColumn("session", F.lit(None).cast("date")).unionByName(b.withColumn("session", F.col(date).cast("date")).withColumn("__row", F.lit(None).cast(a.schema["__row"].dataType)).select("symbol", date, "__row", "__side", "session"))
-    w = W.partitionBy("symbol").orderBy(date, "__side").rowsBetween(0, W.unboundedFollowing)
-    return both.withColumn("session", F.first("session", ignorenulls=True).over(w)).where("__side = 0").select("__row.*", "session")
+    """Each row of ``left`` with ``session``: the first bar date of its symbol on or after the row's date, else null.
+
+    The different dates of both tables are stacked and walked once from the last (a frame
+    up to the end would be read anew for each row), and the rows join the session of
+    their date, so no task sorts all rows of a symbol.  Null symbols and dates have no session.
+    """
+    asked = left.select("symbol", F.col(date).alias("__at"), F.lit(None).cast("date").alias("session"))
+    bars = right.select("symbol", F.col("date").alias("__at"), F.col("date").cast("date").alias("session"))
+    at = asked.unionByName(bars).where("symbol is not null and __at is not null").groupBy("symbol", "__at").agg(F.max("session").alias("session"))
+    w = W.partitionBy("symbol").orderBy(F.desc("__at")).rowsBetween(W.unboundedPreceding, 0)
+    found = at.select("symbol", F.col("__at").alias(date), F.last("session", ignorenulls=True).over(w).alias("session"))
+    return left.join(found, ["symbol", date], "left").select(*left.columns, "session")
 
 
 def to_price_col(name: str) -> Column:
